@@ -240,7 +240,7 @@ def by_severity(t):
       SELECT transaction_id, severity, composite_risk_score, FALSE AS is_demo, explanation, match_count
       FROM decided WHERE metadata = '{}'
       UNION ALL
-      SELECT transaction_id, 'CRITICAL', 1, TRUE, 'DEMO_MODE forced alert for scenario: velocity_burst', match_count + 1
+      SELECT transaction_id, 'CRITICAL', CAST(1 AS DECIMAL(5,4)), TRUE, 'DEMO_MODE forced alert for scenario: velocity_burst', match_count + 1
       FROM decided WHERE metadata <> '{}') x"""))
 def demo(t):
     cfg = DetectionConfig(velocity_minutes=MINUTES, demo_mode=True)

@@ -32,7 +32,7 @@ def scan_tables(t):
 
 @query("weekly_layout", sql("txn", """
     SELECT CAST(CAST('1970-01-01' AS DATE) + CAST(floor(epoch(created_at) / 604800) AS INTEGER) * 7 AS VARCHAR) AS week,
-      count(*) AS transaction_count, sum(amount) AS total_amount
+      count(*) AS transaction_count, CAST(sum(amount) AS DECIMAL(24,2)) AS total_amount
     FROM txn WHERE created_at >= TIMESTAMP '2024-01-09' AND created_at < TIMESTAMP '2024-01-23'
     GROUP BY 1"""))
 def weekly_layout(t):

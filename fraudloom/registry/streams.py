@@ -1 +1,277 @@
-"""Queries that run as streams."""
+"""Queries that run as streams over files derived from the tables.
+
+The input is cut into consecutive time ranges. Each range is written as files and then
+processed by its own run of the query on the same checkpoint, so every query here also
+restarts from its checkpoint between ranges.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from fraudloom.config import DetectionConfig
+from fraudloom.fixtures import seeded_rules
+from fraudloom.functions.columns import micros
+from fraudloom.operators.profiles import _profile_events
+from fraudloom.registry.core import Tables, query, sql
+from fraudloom.registry.dashboard import ROUTED, VOLUME
+from fraudloom.registry.detection import STEPS
+from fraudloom.registry.lifecycle import REPLAY_COLUMNS, _replay
+from fraudloom.registry.messaging import DECODED, ENVELOPE, FAILED
+from fraudloom.session import prepare, shared_dir
+from fraudloom.sources.streams import event_stream_from_start, file_stream, transaction_stream
+from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
+from fraudloom.streaming.pipelines import (
+    stream_dedup, stream_detect, stream_notifications, stream_relay, stream_retry_status,
+    stream_volume_5m, write_files,
+)
+from fraudloom.streaming.profiles import profile_input, stream_compensation
+from fraudloom.streaming.velocity import stream_velocity
+
+PARTS = 3
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_in_parts(
+    t: Tables, source: DataFrame, ts: str, run: Callable[[str], object], parts: int = PARTS,
+    name: str = "stream", closing: DataFrame | None = None,
+) -> None:
+    """Writes `source` range by range into one folder and runs the query after each range.
+
+    `closing` holds rows written last; a time far ahead in it moves the watermark past all data.
+    """
+    prepare(t.spark)
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    path = shared_dir(t.spark, name, "input")
+    low, high = source.agg(F.min(micros(ts)), F.max(micros(ts))).first()
+    step = (high - low) // parts + 1
+    for part in range(parts):
+        start = low + part * step
+        rows = source.where((micros(ts) >= start) & (micros(ts) < start + step))
+        rows.write.mode("append").parquet(path)
+        run(path)
+    if closing is not None:
+        closing.select(*source.columns).write.mode("append").parquet(path)
+        run(path)
+
+
+def results(t: Tables, build: Callable[[str], DataFrame], out: str, check: str, **options):
+    """A `run` function appending the stream built over a folder to `out`."""
+    def run(path: str) -> None:
+        write_files(build(path), out, check, **options).awaitTermination()
+
+    return run
+
+
+def timed(df: DataFrame, *columns: str) -> DataFrame:
+    """Event-time columns as instants, which watermarks need."""
+    return df.withColumns({name: F.col(name).cast("timestamp") for name in columns})
+
+
+def ahead(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per closing marker: the last row moved two days ahead."""
+    first = columns[0]
+    return df.orderBy(F.col(first).desc()).limit(1).withColumns({
+        name: F.col(name) + F.expr("INTERVAL 2 DAYS") for name in columns})
+
+
+@query("transaction_stream", sql("raw_messages", """
+    SELECT message_id, coalesce(event, envelope, data, flat) AS body FROM raw_messages"""))
+def bounded_read(t):
+    out, check = shared_dir(t.spark, "read"), shared_dir(t.spark, "read_check")
+    source = timed(t.raw_messages, "created_at")
+
+    def build(path):
+        return transaction_stream(t.spark, path, schema=source.schema).select(
+            "message_id", F.coalesce("event", "envelope", "data", "flat").alias("body"))
+
+    run_in_parts(t, source, "created_at", results(t, build, out, check))
+    return t.spark.read.parquet(out)
+
+
+@query("event_stream_from_start", sql("raw_messages", """
+    SELECT message_id, json_extract_string(body, '$.event_id') AS event_id
+    FROM decoded WHERE error IS NULL""", decoded=DECODED))
+def replayed_read(t):
+    from fraudloom.operators.events import decode_envelope
+
+    out, check = shared_dir(t.spark, "replay"), shared_dir(t.spark, "replay_check")
+    source = timed(t.raw_messages, "created_at")
+    folders = [shared_dir(t.spark, "replay_in") for _ in range(2)]
+    for number, folder in enumerate(folders):
+        source.where(F.col("message_id") % 2 == number).write.parquet(folder)
+    events = event_stream_from_start(t.spark, folders, schema=source.schema)
+    ok, _ = decode_envelope(events)
+    write_files(ok.select("message_id", "event_id"), out, check).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("stream_dedup", sql("txn", "SELECT transaction_id AS event_id, amount, created_at FROM txn"))
+def deduplicated(t):
+    once = t.txn.select(F.col("transaction_id").alias("event_id"), "amount", "created_at")
+    again = once.where("event_id % 10 = 0")
+    out, check = shared_dir(t.spark, "dedup"), shared_dir(t.spark, "dedup_check")
+    source = timed(once.unionByName(again), "created_at")
+    run_in_parts(t, source, "created_at", results(
+        t, lambda path: stream_dedup(file_stream(t.spark, path, source.schema)), out, check))
+    return t.spark.read.parquet(out).withColumn(
+        "created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query("stream_velocity", sql("txn", """
+    SELECT transaction_id, count(*) OVER w AS txn_count, CAST(sum(amount) OVER w AS DECIMAL(24,2)) AS total_amount
+    FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY created_at
+                 RANGE BETWEEN INTERVAL 1440 MINUTES PRECEDING AND CURRENT ROW)"""))
+def counted(t):
+    source = timed(t.txn.select("transaction_id", "user_id", "amount", "created_at"), "created_at")
+    out, check = shared_dir(t.spark, "velocity"), shared_dir(t.spark, "velocity_check")
+    run_in_parts(t, source, "created_at", results(
+        t, lambda path: stream_velocity(file_stream(t.spark, path, source.schema), 1440),
+        out, check))
+    return t.spark.read.parquet(out).select("transaction_id", "txn_count", "total_amount")
+
+
+@query("stream_volume_5m", sql("txn", f"{VOLUME} FROM txn GROUP BY 1"))
+def volume(t):
+    source = timed(t.txn.select("transaction_id", "user_id", "amount", "created_at"), "created_at")
+    out, check = shared_dir(t.spark, "volume_s"), shared_dir(t.spark, "volume_check")
+    run_in_parts(
+        t, source, "created_at", results(
+            t, lambda path: stream_volume_5m(file_stream(t.spark, path, source.schema)),
+            out, check),
+        closing=ahead(source, "created_at"))
+    return t.spark.read.parquet(out).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+PROFILED = """
+    SELECT v.*, coalesce(p.risk_score, CAST(0 AS DECIMAL(5,4))) AS risk_score,
+      coalesce(p.total_alerts, 0) AS total_alerts, coalesce(p.false_positive_count, 0) AS false_positive_count
+    FROM vel v LEFT JOIN risk_profiles_fx p ON p.user_id = v.user_id"""
+DETECTION_STEPS = {**STEPS, "enriched": PROFILED}
+
+
+def _detection_run(t) -> str:
+    source = timed(t.txn_submissions, "created_at")
+    out, check = shared_dir(t.spark, "detect"), shared_dir(t.spark, "detect_check")
+
+    def run(path):
+        stream_detect(
+            file_stream(t.spark, path, source.schema), lambda: t.risk_profiles_fx,
+            lambda: seeded_rules(t.spark), out, check, cfg=DetectionConfig(velocity_minutes=1440),
+        ).awaitTermination()
+
+    run_in_parts(t, source, "created_at", run)
+    return out
+
+
+@query("stream_detect", sql("txn risk_profiles_fx", """
+    SELECT transaction_id, should_alert, severity, composite_risk_score, 'PROCESSED' AS status FROM decided""",
+    **DETECTION_STEPS))
+def detected(t):
+    return t.spark.read.parquet(f"{_detection_run(t)}/decisions").select(
+        "transaction_id", "should_alert", "severity", "composite_risk_score", "status")
+
+
+@query("decision_sink", sql("txn risk_profiles_fx", """
+    SELECT 'alerts' AS table_name, count(*) AS rows FROM decided WHERE should_alert
+    UNION ALL SELECT 'outbox_events', count(*) FROM decided WHERE should_alert
+    UNION ALL SELECT 'processed_events', count(*) FROM decided
+    UNION ALL SELECT 'new_alerts', count(*) FROM decided WHERE should_alert""", **DETECTION_STEPS))
+def sink(t):
+    out = _detection_run(t)
+    parts = [
+        t.spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table_name"), "rows")
+        for name in ("alerts", "outbox_events", "processed_events")
+    ] + [t.spark.read.parquet(f"{out}/profile_changes").agg(
+        F.sum("new_alerts").cast("bigint").alias("rows")).select(
+            F.lit("new_alerts").alias("table_name"), "rows")]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query("stream_lifecycle", sql("alerts_fx actions_fx", _replay(None)))
+def lifecycle(t):
+    source = lifecycle_input(t.alerts_fx, t.actions_fx)
+    out, check = shared_dir(t.spark, "lifecycle"), shared_dir(t.spark, "lifecycle_check")
+    marker = ahead(source, "at").withColumns({
+        "alert_id": F.lit(-1).cast("bigint"), "kind": F.lit("action"),
+        "target_status": F.lit("PENDING")})
+    run_in_parts(t, source, "at", results(
+        t, lambda path: stream_lifecycle(file_stream(t.spark, path, source.schema)), out, check),
+        closing=marker)
+    return current_state(t.spark.read.parquet(out), t.alerts_fx).select(*REPLAY_COLUMNS)
+
+
+RUN = """
+    SELECT *, CAST(sum(1 - kind) OVER w AS BIGINT) AS total_alerts, CAST(sum(kind) OVER w AS BIGINT) AS false_positive_count
+    FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("stream_compensation", sql("alerts_fx fp_fx", """
+    SELECT user_id, max(total_alerts) AS total_alerts, max(false_positive_count) AS false_positive_count,
+      CAST(coalesce(max_by(CASE WHEN total_alerts > 0 THEN least(1, 0.25 * greatest(0, total_alerts - false_positive_count)) ELSE 0 END,
+        false_positive_count) FILTER (WHERE kind = 1), 0) AS DECIMAL(5,4)) AS risk_score
+    FROM run GROUP BY user_id""",
+    ev="""SELECT user_id, created_at AS ts, 0 AS kind, id AS event_id FROM alerts_fx
+    UNION ALL SELECT user_id, resolved_at, 1, event_id FROM fp_fx""", run=RUN))
+def compensation(t):
+    source = profile_input(t.alerts_fx, t.fp_fx)
+    twice = source.unionByName(source.where("event_id % 10 = 0"))
+    out, check = shared_dir(t.spark, "profiles"), shared_dir(t.spark, "profiles_check")
+    run_in_parts(t, twice, "ts", results(
+        t, lambda path: stream_compensation(file_stream(t.spark, path, twice.schema)), out, check))
+    states = t.spark.read.parquet(out)
+    return states.groupBy("user_id").agg(F.max_by(
+        F.struct("total_alerts", "false_positive_count", "risk_score"),
+        F.struct(F.col("total_alerts") + F.col("false_positive_count"))).alias("s")
+    ).select("user_id", "s.*")
+
+
+@query("stream_retry_status", sql("attempts_fx", """
+    SELECT event_id, CASE WHEN fails >= 8 THEN 'DEAD_LETTERED' WHEN done THEN 'PUBLISHED' ELSE 'PENDING' END AS status,
+      CAST(least(fails, 8) AS INT) AS retry_count FROM failed""", failed=FAILED))
+def retries(t):
+    source = t.attempts_fx
+    out, check = shared_dir(t.spark, "retry"), shared_dir(t.spark, "retry_check")
+
+    def write(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
+            f"{out}/batch_id={batch_id}")
+
+    def run(path):
+        (stream_retry_status(file_stream(t.spark, path, source.schema)).writeStream
+         .outputMode("update").foreachBatch(write).option("checkpointLocation", check)
+         .trigger(availableNow=True).start().awaitTermination())
+
+    run_in_parts(t, source, "attempted_at", run)
+    found = t.spark.read.parquet(out).groupBy("event_id").agg(
+        F.max_by(F.struct("status", "retry_count"), F.col("batch")).alias("s"))
+    return found.select("event_id", "s.*")
+
+
+@query("stream_relay", sql("outbox_fx", f"""
+    SELECT id, stream, {ENVELOPE} AS envelope FROM routed WHERE status = 'PENDING'""", routed=ROUTED))
+def relay(t):
+    out, check = shared_dir(t.spark, "relay_s"), shared_dir(t.spark, "relay_check")
+    source = t.outbox_fx
+    run_in_parts(t, source, "created_at", results(
+        t, lambda path: stream_relay(file_stream(t.spark, path, source.schema)), out, check,
+        partition_by=("stream",)))
+    return t.spark.read.parquet(out)
+
+
+@query("stream_notifications", sql("raw_messages", """
+    SELECT message_id, json_extract_string(body, '$.event_type') AS event_type,
+      concat('{"type":"', json_extract_string(body, '$.event_type'), '","payload":',
+        CAST(json_extract(body, '$.payload') AS VARCHAR), '}') AS message
+    FROM decoded WHERE error IS NULL""", decoded=DECODED))
+def notifications(t):
+    out, check = shared_dir(t.spark, "notify"), shared_dir(t.spark, "notify_check")
+    source = timed(t.raw_messages, "created_at")
+    run_in_parts(t, source, "created_at", results(
+        t, lambda path: stream_notifications(file_stream(t.spark, path, source.schema)),
+        out, check))
+    return t.spark.read.parquet(out)
