@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from fraudloom.config import DetectionConfig
 from fraudloom.fixtures import seeded_rules
 from fraudloom.functions.columns import micros
-from fraudloom.operators.profiles import _profile_events
 from fraudloom.registry.core import Tables, query, sql
 from fraudloom.registry.dashboard import ROUTED, VOLUME
 from fraudloom.registry.detection import STEPS
@@ -32,6 +31,16 @@ PARTS = 3
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def tune(spark) -> None:
+    """State goes to RocksDB; on one machine a state partition per core is enough."""
+    prepare(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    if spark.sparkContext.master.startswith("local"):
+        cores = spark.sparkContext.defaultParallelism
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) > cores:
+            spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+
+
 def run_in_parts(
     t: Tables, source: DataFrame, ts: str, run: Callable[[str], object], parts: int = PARTS,
     name: str = "stream", closing: DataFrame | None = None,
@@ -40,8 +49,7 @@ def run_in_parts(
 
     `closing` holds rows written last; a time far ahead in it moves the watermark past all data.
     """
-    prepare(t.spark)
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    tune(t.spark)
     path = shared_dir(t.spark, name, "input")
     low, high = source.agg(F.min(micros(ts)), F.max(micros(ts))).first()
     step = (high - low) // parts + 1

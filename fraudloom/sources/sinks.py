@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fraudloom.operators.events import encode_envelope, route_events
 
@@ -24,19 +25,31 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def batch_sink(path: str, outputs: Callable[[DataFrame], dict[str, DataFrame]]):
-    """A `foreachBatch` function writing the named outputs of every micro-batch.
+def read_batch(like: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Reads one micro-batch back with the schema it was written with."""
+    return like.sparkSession.read.schema(like.schema).parquet(f"{path}/batch_id={batch_id}")
+
+
+def write_history(df: DataFrame, path: str, batch_id: int, ts: str = "created_at") -> None:
+    """Appends rows under day and batch folders; a replayed batch replaces its own folders."""
+    (
+        df.withColumns({"day": F.to_date(ts), "batch_id": F.lit(batch_id)})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "batch_id").parquet(path)
+    )
 
-    All outputs of a batch come from one cached input, and each lands under the batch number,
-    so a batch that is repeated after a failure overwrites what it wrote before.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            for name, df in outputs(batch).items():
-                write_batch(df, f"{path}/{name}", batch_id)
-        finally:
-            batch.unpersist()
+def read_history(
+    spark: SparkSession, path: str, first: datetime.date, last: datetime.date, batch_id: int,
+) -> DataFrame | None:
+    """Rows of the given days from batches before `batch_id`; None when there are none.
 
-    return write
+    Only the folders of these days are listed, however long the history is.
+    """
+    days = ",".join(
+        str(first + datetime.timedelta(days=i)) for i in range((last - first).days + 1))
+    try:
+        history = spark.read.option("basePath", path).parquet(f"{path}/day={{{days}}}")
+    except AnalysisException:
+        return None
+    return history.where(F.col("batch_id") < batch_id).drop("day", "batch_id")

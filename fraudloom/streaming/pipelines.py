@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,12 +14,12 @@ from fraudloom.operators.events import (
     alert_events, decode_envelope, encode_envelope, notification_messages, retry_or_dead_letter,
     route_events,
 )
-from fraudloom.operators.features import with_risk_profile
+from fraudloom.operators.features import velocity_trailing, with_risk_profile
+from fraudloom.operators.isolation import Forest
 from fraudloom.operators.scoring import build_alerts
 from fraudloom.plans.detection import decide_enriched
 from fraudloom.schemas import GROUP_PROCESSOR
-from fraudloom.sources.sinks import batch_sink
-from fraudloom.streaming.velocity import stream_velocity
+from fraudloom.sources.sinks import read_batch, read_history, write_batch, write_history
 
 
 def stream_dedup(
@@ -46,43 +49,76 @@ def stream_volume_5m(
              "active_users")
 
 
-def detection_outputs(batch: DataFrame, profiles: DataFrame, rules: DataFrame, forest,
-                      cfg: DetectionConfig, group: str = GROUP_PROCESSOR) -> dict[str, DataFrame]:
-    """All tables one batch of counted transactions writes."""
-    decisions = decide_enriched(with_risk_profile(batch, profiles), rules, forest, cfg)
-    alerts = build_alerts(decisions)
-    return {
-        "decisions": decisions.select(
-            "transaction_id", "user_id", "should_alert", "severity", "composite_risk_score",
-            F.lit("PROCESSED").alias("status"), "created_at"),
-        "alerts": alerts,
-        "outbox_events": alert_events(alerts),
-        "profile_changes": alerts.groupBy("user_id").agg(
-            F.count(F.lit(1)).cast("int").alias("new_alerts")),
-        "processed_events": batch.select(
-            derived_id(F.lit("event"), "transaction_id").alias("event_id"),
-            F.lit(group).alias("consumer_group"), F.col("created_at").alias("processed_at")),
-    }
+def velocity_of_batch(
+    batch: DataFrame, history: str, batch_id: int, minutes: int,
+) -> DataFrame:
+    """Velocity of one micro-batch against the stored transactions before it.
+
+    Each row counts every transaction seen so far in its window, also one that came late. The
+    work is the batch form over the batch and one window of history.
+    """
+    times = batch.select(F.col("created_at").cast("timestamp_ntz").alias("t")).agg(
+        F.min("t").alias("low"), F.max("t").alias("high")).first()
+    marked = batch.withColumn("_new", F.lit(True))
+    if times["low"] is not None:
+        first = (times["low"] - timedelta(minutes=minutes)).date()
+        past = read_history(
+            batch.sparkSession, history, first, times["high"].date(), batch_id)
+        if past is not None:
+            marked = marked.unionByName(past, allowMissingColumns=True)
+    return velocity_trailing(marked, minutes).where("_new").drop("_new")
+
+
+def write_detections(
+    batch: DataFrame, batch_id: int, path: str, profiles: DataFrame, rules: DataFrame,
+    forest: Forest | None, cfg: DetectionConfig, group: str = GROUP_PROCESSOR,
+) -> None:
+    """Writes everything one micro-batch decides, each table under the batch number.
+
+    Decisions are written first and read back, so they are computed once; the other tables
+    follow from the written decisions.
+    """
+    counted = velocity_of_batch(batch, f"{path}/history", batch_id, cfg.velocity_minutes)
+    decisions = decide_enriched(with_risk_profile(counted, profiles), rules, forest, cfg)
+    decisions = decisions.withColumn("status", F.lit("PROCESSED"))
+    write_batch(decisions, f"{path}/decisions", batch_id)
+    decided = read_batch(decisions, f"{path}/decisions", batch_id)
+
+    alerts = build_alerts(decided)
+    write_batch(alerts, f"{path}/alerts", batch_id)
+    write_batch(alert_events(alerts), f"{path}/outbox_events", batch_id)
+    write_batch(alerts.groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("int").alias("new_alerts")), f"{path}/profile_changes", batch_id)
+    write_batch(decided.select(
+        derived_id(F.lit("event"), "transaction_id").alias("event_id"),
+        F.lit(group).alias("consumer_group"), F.col("created_at").alias("processed_at"),
+    ), f"{path}/processed_events", batch_id)
+    write_history(decided.select("user_id", "created_at", "amount"), f"{path}/history", batch_id)
 
 
 def stream_detect(
-    txns: DataFrame, load_profiles, load_rules, path: str, checkpoint: str,
-    forest=None, cfg: DetectionConfig = DetectionConfig(), watermark: str = "10 minutes",
+    txns: DataFrame, load_profiles: Callable[[], DataFrame], load_rules: Callable[[], DataFrame],
+    path: str, checkpoint: str, forest: Forest | None = None,
+    cfg: DetectionConfig = DetectionConfig(), watermark: str = "10 minutes",
 ) -> StreamingQuery:
-    """Deduplicates, counts velocity and decides every transaction of a stream.
+    """Deduplicates a stream of transactions and decides each of them.
 
-    Rules and profiles are read anew in every micro-batch. All tables of a batch are written
-    under its number, so a repeated batch replaces its earlier output.
+    Rules and profiles are read anew in every micro-batch. A batch that is repeated after a
+    failure replaces what it wrote before.
     """
-    fresh = stream_dedup(txns, "idempotency_key", watermark=watermark)
-    counted = stream_velocity(fresh, cfg.velocity_minutes, marked=True)
-
-    def outputs(batch: DataFrame) -> dict[str, DataFrame]:
-        return detection_outputs(batch, load_profiles(), load_rules(), forest, cfg)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                write_detections(
+                    batch, batch_id, path, load_profiles(), load_rules(), forest, cfg)
+        finally:
+            batch.unpersist()
 
+    fresh = stream_dedup(txns, "idempotency_key", watermark=watermark)
     return (
-        counted.writeStream.foreachBatch(batch_sink(path, outputs))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 

@@ -17,8 +17,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fraudloom.functions.columns import micros
 from fraudloom.plans.slices import MINUTE_US, whole_slices
 
-COUNTED_SCHEMA = "transaction_id bigint, txn_count bigint, total_cents bigint"
-
 
 class SliceVelocity(StatefulProcessor):
     """Counts and sums the rows of one (user, slice) around each own row."""
@@ -32,7 +30,7 @@ class SliceVelocity(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows), ignore_index=True)
-        known = [tuple(row) for row in self.seen.get()] if self.seen.exists() else []
+        known = list(self.seen.get())
         new = list(zip(batch["us"].tolist(), batch["cents"].tolist(), batch["own"].tolist()))
         self.seen.appendList(new)
         if not known:
@@ -47,6 +45,8 @@ class SliceVelocity(StatefulProcessor):
         own_n = np.searchsorted(own_us, at, side="right")
         edge_gone = np.searchsorted(edge_us, at, side="left")
         out = current[self.payload].copy()
+        out.insert(0, "user_id", key[0])
+        out.insert(1, "slice", key[1])
         out["txn_count"] = own_n + len(edge_us) - edge_gone
         out["total_cents"] = own_sum[own_n] + edge_sum[-1] - edge_sum[edge_gone]
         return iter((out,))
@@ -68,15 +68,11 @@ def _prefix(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stream_velocity(
-    txns: DataFrame, minutes: int = 10, watermark: str = "10 minutes", marked: bool = False,
+    txns: DataFrame, minutes: int = 10, watermark: str = "10 minutes",
 ) -> DataFrame:
-    """Adds count and sum of the trailing window to every transaction as it arrives.
-
-    `marked` says that the stream already carries a watermark on `created_at`.
-    """
+    """Adds count and sum of the trailing window to every transaction as it arrives."""
     window_us = minutes * MINUTE_US
-    if not marked:
-        txns = txns.withWatermark("created_at", watermark)
+    txns = txns.withWatermark("created_at", watermark)
     payload = [c for c in txns.columns if c != "user_id"]
     cents = (F.col("amount") * 100).cast("bigint")
     us = micros("created_at")
@@ -92,20 +88,10 @@ def stream_velocity(
         + [f"{name} {kinds[name]}" for name in payload]
         + ["txn_count bigint", "total_cents bigint"])
     counted = rows.groupBy("user_id", "slice").transformWithStateInPandas(
-        statefulProcessor=_WithKey(window_us, payload), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime", eventTimeColumnName="",
+        statefulProcessor=SliceVelocity(window_us, payload), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime",
     )
     return counted.select(
         "user_id", *payload, "txn_count",
         (F.col("total_cents") / 100).cast("decimal(24,2)").alias("total_amount"),
     )
-
-
-class _WithKey(SliceVelocity):
-    """Puts the grouping key in front of the result columns."""
-
-    def handleInputRows(self, key, rows, timerValues):
-        for out in super().handleInputRows(key, rows, timerValues):
-            out.insert(0, "user_id", key[0])
-            out.insert(1, "slice", key[1])
-            yield out
