@@ -8,7 +8,7 @@ from fraudloom.config import MAX_PUBLISH_RETRIES, MIN_IDLE_SECONDS
 from fraudloom.functions.columns import derived_id, event_family, iso_time, json_text
 from fraudloom.operators.quality import unknown_fields
 from fraudloom.schemas import (
-    ENVELOPE_FIELDS, EVENT_ALERT_APPROVED, EVENT_ALERT_BLOCKED, EVENT_ALERT_CREATED,
+    ENVELOPE, ENVELOPE_FIELDS, EVENT_ALERT_APPROVED, EVENT_ALERT_BLOCKED, EVENT_ALERT_CREATED,
     EVENT_ALERT_FALSE_POSITIVE, EVENT_ESCALATION_EMAIL, EVENT_ESCALATION_SLACK,
     EVENT_RECALCULATE, EVENT_TRANSACTION_CREATED, EVENT_VERSION, STREAM_ALERTS,
     STREAM_COMPENSATION, STREAM_ESCALATIONS, STREAM_TRANSACTIONS,
@@ -21,10 +21,12 @@ MESSAGE_SOURCES = ("event", "envelope", "data")
 def envelope_error(body: Column) -> Column:
     """Why a message body is no envelope; NULL if it is one."""
     keys = F.json_object_keys(body)
+    # One complete JSON value: inside brackets it makes an array of exactly one element.
+    whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
     missing = F.size(F.array_except(
         F.array(*[F.lit(name) for name in REQUIRED_ENVELOPE_FIELDS]), keys))
     return (
-        F.when(F.try_parse_json(body).isNull() | keys.isNull(), "not a JSON object")
+        F.when(keys.isNull() | ~F.coalesce(whole, F.lit(False)), "not a JSON object")
         .when(F.size(unknown_fields(keys, ENVELOPE_FIELDS)) > 0, "unknown field")
         .when(missing > 0, "missing field")
     )
@@ -41,10 +43,11 @@ def decode_envelope(
     sources = [name for name in (*MESSAGE_SOURCES, "flat") if name in raw.columns]
     body = raw.select(key, *keep, F.coalesce(*sources).alias("body")).withColumn(
         "error", envelope_error(F.col("body")))
-    fields = {name: F.get_json_object("body", f"$.{name}") for name in ENVELOPE_FIELDS}
-    fields["event_version"] = F.coalesce(fields["event_version"], F.lit(EVENT_VERSION))
-    ok = body.where("error IS NULL").select(
-        key, *keep, *[value.alias(name) for name, value in fields.items()])
+    fields = F.from_json("body", ENVELOPE)
+    ok = body.where("error IS NULL").withColumn("_e", fields).select(
+        key, *keep,
+        *[F.coalesce("_e.event_version", F.lit(EVENT_VERSION)).alias(name)
+          if name == "event_version" else F.col(f"_e.{name}") for name in ENVELOPE_FIELDS])
     return ok, body.where("error IS NOT NULL")
 
 

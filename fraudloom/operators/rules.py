@@ -11,7 +11,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from fraudloom.functions.columns import fixed_text, lenient_decimal
+from fraudloom.functions.columns import fixed_text
 from fraudloom.schemas import RULE_TYPES, SEVERITIES
 
 COMPILE_LIMIT = 128
@@ -34,47 +34,61 @@ MIN_SCORE_KEYS = ("min_risk_score", "risk_threshold", "threshold")
 CATEGORY_KEYS = ("categories", "category_list", "blocked_categories")
 
 
-def _raw(key: str) -> Column:
-    """The JSON text of one parameter; NULL when absent or JSON null."""
-    text = F.to_json(F.try_variant_get("_params", f"$.{key}", "variant"))
-    return F.nullif(text, F.lit("null"))
+# The parameter logic is written as SQL text over columns `_p_<name>` holding the JSON text of
+# one parameter each (NULL when absent or JSON null), so every parameter is extracted once.
 
 
-def _present(text: Column) -> Column:
+def _present(key: str) -> str:
     """NULL for values that count as missing: false, zero and empty ones."""
-    missing = text.isin("false", '""', "[]", "{}") | F.coalesce(
-        text.try_cast("double") == 0, F.lit(False)
-    )
-    return F.when(~missing, text)
+    text = f"_p_{key}"
+    return (f"CASE WHEN {text} NOT IN ('false', '\"\"', '[]', '{{}}')"
+            f" AND coalesce(try_cast({text} AS double) <> 0, true) THEN {text} END")
 
 
-def _first(keys: tuple[str, ...], keep_last: bool = True) -> Column:
+def _first(keys: tuple[str, ...], keep_last: bool = True) -> str:
     """First parameter that is present; the last alias counts even when it is zero."""
-    texts = [_raw(key) for key in keys]
-    found = [_present(text) for text in texts]
-    return F.coalesce(*found, *([texts[-1]] if keep_last else []))
+    found = [_present(key) for key in keys] + ([f"_p_{keys[-1]}"] if keep_last else [])
+    return f"coalesce({', '.join(found)})"
 
 
-def _text(raw: Column) -> Column:
+def _text(raw: str) -> str:
     """Value of a JSON scalar as plain text."""
-    return F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+    return f"get_json_object(concat('{{\"v\":', {raw}, '}}'), '$.v')"
 
 
-def _number(raw: Column) -> Column:
-    return lenient_decimal(F.when(~raw.isin("true", "false"), _text(raw)))
+def _number(raw: str) -> str:
+    return (f"try_cast(CASE WHEN {raw} NOT IN ('true', 'false') THEN {_text(raw)} END"
+            " AS decimal(28,8))")
 
 
-def _whole(raw: Column) -> Column:
+def _whole(raw: str) -> str:
     """Whole number of a count limit: JSON numbers are truncated, text must be whole."""
-    quoted = raw.startswith('"')
-    truncated = F.when(raw == "true", F.lit(1)).when(raw == "false", F.lit(0)).otherwise(
-        raw.try_cast("decimal(28,8)").try_cast("bigint")
-    )
-    return F.when(quoted, _text(raw).try_cast("bigint")).otherwise(truncated)
-
-
-def _list(raw: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(raw), "$", "array<string>")
+    return (f"CASE WHEN startswith({raw}, '\"') THEN try_cast({_text(raw)} AS bigint)"
+            f" WHEN {raw} = 'true' THEN 1 WHEN {raw} = 'false' THEN 0"
+            f" ELSE try_cast(try_cast({raw} AS decimal(28,8)) AS bigint) END")
+
+
+def _list(raw: str, fold: str) -> str:
+    values = f"try_variant_get(try_parse_json({raw}), '$', 'array<string>')"
+    return (f"array_distinct(transform(filter({values}, v -> v IS NOT NULL),"
+            f" v -> {fold}(trim(v))))")
+
+
+PARAMETER_KEYS = tuple(dict.fromkeys((
+    *THRESHOLD_KEYS, *COUNTRY_KEYS, *MAX_COUNT_KEYS, *MAX_AMOUNT_KEYS, *MIN_SCORE_KEYS,
+    *CATEGORY_KEYS, "currency", "operator", "window_minutes",
+)))
+TYPED_PARAMETERS = {
+    "threshold": ("AMOUNT_THRESHOLD", _number(_first(THRESHOLD_KEYS))),
+    "currency": ("AMOUNT_THRESHOLD", f"upper({_text(_present('currency'))})"),
+    "strict": ("AMOUNT_THRESHOLD", f"coalesce({_text('_p_operator')} <> '>=', false)"),
+    "countries": ("HIGH_RISK_COUNTRY", _list(_first(COUNTRY_KEYS, False), "upper")),
+    "categories": ("MERCHANT_CATEGORY", _list(_first(CATEGORY_KEYS, False), "lower")),
+    "max_count": ("VELOCITY", _whole(_first(MAX_COUNT_KEYS))),
+    "max_amount": ("VELOCITY", _number(_first(MAX_AMOUNT_KEYS))),
+    "min_score": ("USER_RISK_LEVEL", _number(_first(MIN_SCORE_KEYS))),
+    "window_text": ("VELOCITY", _text("_p_window_minutes")),
+}
 
 
 def resolve_rule_params(rules: DataFrame) -> DataFrame:
@@ -82,32 +96,16 @@ def resolve_rule_params(rules: DataFrame) -> DataFrame:
 
     Unreadable numbers and non-list lists become NULL, which never matches.
     """
-    params = F.try_parse_json(F.coalesce("parameters", F.lit("{}")))
-    kind = F.col("rule_type")
-
-    def when_type(rule_type: str, value: Column) -> Column:
-        return F.when(kind == rule_type, value)
-
-    def normal(values: Column, fold) -> Column:
-        return F.array_distinct(F.transform(
-            F.filter(values, lambda v: v.isNotNull()), lambda v: fold(F.trim(v))
-        ))
-
-    base = rules.withColumn("_params", params)
-    return base.withColumns({
-        "threshold": when_type("AMOUNT_THRESHOLD", _number(_first(THRESHOLD_KEYS))),
-        "currency": when_type("AMOUNT_THRESHOLD", F.upper(_text(_present(_raw("currency"))))),
-        "strict": when_type("AMOUNT_THRESHOLD",
-                            F.coalesce(_text(_raw("operator")) != ">=", F.lit(False))),
-        "countries": when_type("HIGH_RISK_COUNTRY",
-                               normal(_list(_first(COUNTRY_KEYS, False)), F.upper)),
-        "categories": when_type("MERCHANT_CATEGORY",
-                                normal(_list(_first(CATEGORY_KEYS, False)), F.lower)),
-        "max_count": when_type("VELOCITY", _whole(_first(MAX_COUNT_KEYS))),
-        "max_amount": when_type("VELOCITY", _number(_first(MAX_AMOUNT_KEYS))),
-        "min_score": when_type("USER_RISK_LEVEL", _number(_first(MIN_SCORE_KEYS))),
-        "window_text": when_type("VELOCITY", _text(_raw("window_minutes"))),
-    }).drop("_params")
+    columns = [f"`{name}`" for name in rules.columns]
+    parsed = rules.selectExpr(*columns, "try_parse_json(coalesce(parameters, '{}')) AS _params")
+    raw = parsed.selectExpr(*columns, *[
+        f"nullif(to_json(try_variant_get(_params, '$.{key}', 'variant')), 'null') AS _p_{key}"
+        for key in PARAMETER_KEYS
+    ])
+    return raw.selectExpr(*columns, *[
+        f"CASE WHEN rule_type = '{kind}' THEN {value} END AS {name}"
+        for name, (kind, value) in TYPED_PARAMETERS.items()
+    ])
 
 
 def load_active_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:

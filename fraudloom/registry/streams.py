@@ -27,7 +27,7 @@ from fraudloom.streaming.pipelines import (
 from fraudloom.streaming.profiles import profile_input, stream_compensation
 from fraudloom.streaming.velocity import stream_velocity
 
-PARTS = 3
+PARTS = 2
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
