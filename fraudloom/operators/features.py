@@ -114,10 +114,10 @@ def with_risk_profile(txns: DataFrame, profiles: DataFrame, user: str = "user_id
 
 def profile_as_of(
     txns: DataFrame, history: DataFrame, ts: str = "created_at", changed: str = "changed_at",
-    seq: str = "change_id", slice_hours: int = 24,
+    seq: str = "change_id", slice_minutes: int = 60,
 ) -> DataFrame:
     """Adds `risk_score`, the user's latest profile score at or before the transaction time."""
-    width = slice_hours * 60 * MINUTE_US
+    width = slice_minutes * MINUTE_US
     fields = [c for c in txns.columns if c != "user_id"]
     left = txns.select(
         "user_id", micros(ts).alias("_us"), F.lit(1).alias("_kind"),

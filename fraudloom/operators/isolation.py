@@ -8,7 +8,6 @@ trees, and each tree is grown from at most `sample_size` rows. A fitted forest h
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -234,27 +233,30 @@ def iforest_score(features: DataFrame, forest: Forest, column: str = "ml_score")
     ).drop("_raw_score")
 
 
+METADATA_SCHEMA = (
+    "model_version string, min_score double, max_score double, offset double,"
+    " feature_names array<string>, country_risk_tiers map<string,double>,"
+    " merchant_category_map map<string,double>, training_sample_size bigint,"
+    " sample_size int, contamination double, n_estimators int"
+)
+
+
 def model_metadata(spark: SparkSession, forest: Forest) -> DataFrame:
-    """One row describing a fit; maps are kept as JSON text."""
+    """One row describing a fit, including its two lookup maps."""
     row = {
         "model_version": forest.version,
         "min_score": forest.min_score,
         "max_score": forest.max_score,
         "offset": forest.offset,
         "feature_names": list(FEATURES),
-        "country_risk_tiers": json.dumps(forest.country_risk_tiers),
-        "merchant_category_map": json.dumps(forest.merchant_category_map),
+        "country_risk_tiers": forest.country_risk_tiers,
+        "merchant_category_map": forest.merchant_category_map,
         "training_sample_size": forest.training_rows,
         "sample_size": forest.sample_size,
         "contamination": forest.contamination,
         "n_estimators": forest.n_trees,
     }
-    schema = (
-        "model_version string, min_score double, max_score double, offset double,"
-        " feature_names array<string>, country_risk_tiers string, merchant_category_map string,"
-        " training_sample_size bigint, sample_size int, contamination double, n_estimators int"
-    )
-    return spark.createDataFrame([row], schema)
+    return spark.createDataFrame([row], METADATA_SCHEMA)
 
 
 def save_model(spark: SparkSession, forest: Forest, path: str) -> None:
@@ -263,22 +265,34 @@ def save_model(spark: SparkSession, forest: Forest, path: str) -> None:
     model_metadata(spark, forest).write.mode("overwrite").json(f"{path}/metadata")
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata JSON of a model; text that is no such record fails the read."""
+    return spark.read.schema(METADATA_SCHEMA).option("multiLine", "true").option(
+        "mode", "FAILFAST").json(path)
+
+
+def lookup_tables(metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two lookup maps of a model as tables (name, risk)."""
+    return tuple(
+        metadata.select(F.explode(name).alias("name", "risk"))
+        for name in ("country_risk_tiers", "merchant_category_map")
+    )
+
+
 def load_model(spark: SparkSession, path: str) -> Forest:
     """Reads a saved model; anything missing or unreadable fails, never scores silently."""
     try:
-        meta = spark.read.json(f"{path}/metadata").first()
+        meta = read_metadata(spark, f"{path}/metadata").first()
         nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").toPandas()
     except Exception as error:
         raise ValueError(f"model at {path} cannot be loaded") from error
-    if meta is None or nodes.empty:
+    if meta is None or meta["model_version"] is None or nodes.empty:
         raise ValueError(f"model at {path} is incomplete")
-    known = meta.asDict()
     return Forest(
         nodes=nodes.sort_values(["tree", "node"], ignore_index=True),
-        sample_size=int(known["sample_size"]), offset=known.get("offset"),
-        min_score=float(known["min_score"]), max_score=float(known["max_score"]),
-        training_rows=int(known["training_sample_size"]),
-        contamination=float(known["contamination"]), version=known["model_version"],
-        country_risk_tiers=json.loads(known["country_risk_tiers"]),
-        merchant_category_map=json.loads(known["merchant_category_map"]),
+        sample_size=meta["sample_size"], offset=meta["offset"], min_score=meta["min_score"],
+        max_score=meta["max_score"], training_rows=meta["training_sample_size"],
+        contamination=meta["contamination"], version=meta["model_version"],
+        country_risk_tiers=dict(meta["country_risk_tiers"]),
+        merchant_category_map=dict(meta["merchant_category_map"]),
     )

@@ -172,5 +172,5 @@ def check_unique_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def orphan_check(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose reference does not exist."""
     return child.join(
-        parent.select(F.col(pk).alias("_pk")).distinct(), F.col(fk) == F.col("_pk"), "left_anti"
+        parent.select(F.col(pk).alias("_pk")), F.col(fk) == F.col("_pk"), "left_anti"
     )

@@ -33,7 +33,10 @@ def decide_enriched(
         scored = enriched.withColumn("ml_anomaly_score", F.lit(0).cast(SCORE))
     else:
         scored = iforest_score(
-            extract_features(enriched, keep=enriched.columns), forest, column="ml_anomaly_score"
+            extract_features(
+                enriched, forest.country_risk_tiers, forest.merchant_category_map,
+                keep=enriched.columns,
+            ), forest, column="ml_anomaly_score"
         )
         scored = scored.select(*enriched.columns, "ml_anomaly_score")
     matched = evaluate_rules(scored, rules, cfg.velocity_minutes)

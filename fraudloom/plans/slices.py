@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fraudloom.functions.columns import micros
 
 MINUTE_US = 60_000_000
+MAX_SLICE_MINUTES = 15
 
 
 def slice_no(ts: Column | str, width_us: int) -> Column:
@@ -25,13 +26,11 @@ def whole_slices(us: Column, width_us: int) -> Column:
 
 
 def slices_per_window(minutes: int) -> int:
-    """How many slices a trailing window spans: one up to 15 minutes, then hourly ones."""
-    if minutes <= 15:
-        return 1
-    count = -(-minutes // 60)
+    """How many slices a trailing window spans, each of at most `MAX_SLICE_MINUTES`."""
+    count = -(-minutes // MAX_SLICE_MINUTES)
     while (minutes * MINUTE_US) % count:
-        count -= 1
-    return max(count, 1)
+        count += 1
+    return count
 
 
 def opening_totals(

@@ -90,9 +90,17 @@ def fitted(t):
     return t.spark.createDataFrame(forest.nodes, isolation.NODE_SCHEMA)
 
 
-@query("model_metadata")
+@query("model_metadata", sql("txn", """
+    SELECT '1.0.0' AS model_version, count(*) AS training_sample_size, CAST(least(256, count(*)) AS INT) AS sample_size,
+      0.05e0 AS contamination, CAST(20 AS INT) AS n_estimators, CAST(5 AS INT) AS features, CAST(17 AS INT) AS country_tiers,
+      CAST(13 AS INT) AS categories, TRUE AS bounds_ordered FROM txn"""))
 def metadata(t):
-    return isolation.model_metadata(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=20))
+    found = isolation.model_metadata(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=20))
+    return found.select(
+        "model_version", "training_sample_size", "sample_size", "contamination", "n_estimators",
+        F.size("feature_names").alias("features"), F.size("country_risk_tiers").alias("country_tiers"),
+        F.size("merchant_category_map").alias("categories"),
+        (F.col("min_score") < F.col("max_score")).alias("bounds_ordered"))
 
 
 @query("load_model_tables")

@@ -68,7 +68,7 @@ def test_velocity_partitions_by_user_and_slice(spark):
 
 def test_slices():
     assert slices_per_window(10) == 1
-    assert slices_per_window(1440) == 24
+    assert slices_per_window(1440) == 96
     assert (90 * 60 * 10**6) % slices_per_window(90) == 0
 
 
