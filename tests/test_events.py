@@ -156,6 +156,7 @@ def test_pages(spark):
         views.page_alerts(table, 1, 501)
 
 
+
 def test_validation(spark):
     rows = [("5", "usd", "gb", "x", "7", None), ("0", "US1", "USA", "", None, "k" * 256),
             ("1", None, "GB", "m" * 128, "7", "k"), ("NaN", " us", "G1", "x", "a", "k")]
