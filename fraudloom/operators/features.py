@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fraudloom.functions.columns import (
     hour_of_day, literal_map, lower_code, map_get, micros, upper_code,
@@ -34,11 +34,11 @@ def velocity_trailing(
     """Adds count and sum of the user's transactions in [t - minutes, t], both ends included.
 
     The window is m slices long. A transaction in slice k needs the start of its own slice,
-    the end of slice k-m and the whole slices between. Each row therefore goes to its own
-    slice and, as a slim copy moved forward by the window length, to slice k+m, where the
-    copies before the current time are the ones that left the window. The result is the whole
-    slices k-m..k-1, plus the own rows so far, minus the copies gone: plain running sums, so
-    the work per slice is linear after its sort.
+    the end of slice k-m and the whole slices between. Each row goes to its own slice as an
+    addition and, as a slim copy moved forward by the window length, to slice k+m as a
+    subtraction at the moment it leaves the window. What slices k-m..k-1 hold is added up front:
+    for m = 1 by a third slim copy at the start of the slice, else from per-slice totals. One
+    running sum over a slice then gives the result, so the work is linear after its sort.
     """
     m = slices_per_window(minutes)
     window_us = minutes * MINUTE_US
@@ -47,36 +47,28 @@ def velocity_trailing(
         user, F.struct(*txns.columns).alias("_row"), F.col(amount).alias("_amount"),
         micros(ts).alias("_us"), slice_no(ts, width).alias("_slice"),
     )
-    own = F.struct(
-        "_slice", "_us", F.lit(1).alias("_own"), F.col("_row"),
-    )
-    edge = F.struct(
-        (F.col("_slice") + m).alias("_slice"), (F.col("_us") + window_us).alias("_us"),
-        F.lit(0).alias("_own"), F.lit(None).alias("_row"),
+    later, slim = F.col("_slice") + m, F.lit(None)
+
+    def entry(at: Column, position: Column, sign: int, row: Column) -> Column:
+        change = F.col("_amount") if sign > 0 else -F.col("_amount")
+        return F.struct(at.alias("_slice"), position.alias("_at"), F.lit(sign).alias("_n"),
+                        change.alias("_a"), row.alias("_row"))
+
+    # Even positions are additions, so a copy leaves only after the peers of its last moment.
+    entries = [
+        entry(F.col("_slice"), F.col("_us") * 2, 1, F.col("_row")),
+        entry(later, (F.col("_us") + window_us) * 2 + 1, -1, slim),
+    ]
+    if m == 1:
+        entries.append(entry(later, later * (2 * width) - 1, 1, slim))
+    so_far = (
+        Window.partitionBy(user, "_slice").orderBy("_at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = base.select(user, "_amount", F.inline(F.array(own, edge)))
-
-    slice_rows = Window.partitionBy(user, "_slice")
-    through = slice_rows.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    before = slice_rows.orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    is_own, is_edge = F.col("_own") == 1, F.col("_own") == 0
-
-    def zero(col):
-        return F.coalesce(col, F.lit(0))
-
-    own_amount = F.when(is_own, F.col("_amount"))
-    edge_amount = F.when(is_edge, F.col("_amount"))
-    counted = rows.select(
-        "*",
-        (F.sum("_own").over(through)
-         - zero(F.sum(1 - F.col("_own")).over(before))).alias("txn_count"),
-        (zero(F.sum(own_amount).over(through))
-         - zero(F.sum(edge_amount).over(before))).alias("total_amount"),
-        *([] if m > 1 else [
-            zero(F.sum(1 - F.col("_own")).over(slice_rows)).alias("_past_n"),
-            zero(F.sum(edge_amount).over(slice_rows)).alias("_past_a"),
-        ]),
-    ).where(is_own)
+    counted = base.select(user, F.inline(F.array(*entries))).select(
+        user, "_slice", "_row", F.sum("_n").over(so_far).alias("_n"),
+        F.sum("_a").over(so_far).alias("_a"),
+    ).where("_row IS NOT NULL")
 
     if m > 1:
         per_slice = base.groupBy(user, "_slice").agg(
@@ -85,17 +77,15 @@ def velocity_trailing(
         past = Window.partitionBy(user).orderBy("_slice").rangeBetween(-m, -1)
         counted = counted.join(per_slice.select(
             user, "_slice",
-            zero(F.sum("_n").over(past)).alias("_past_n"),
-            zero(F.sum("_a").over(past)).alias("_past_a"),
-        ), [user, "_slice"])
-    counted = counted.withColumns({
-        "txn_count": F.col("txn_count") + F.col("_past_n"),
-        "total_amount": F.col("total_amount") + F.col("_past_a"),
-    })
+            F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_past_n"),
+            F.coalesce(F.sum("_a").over(past), F.lit(0)).alias("_past_a"),
+        ), [user, "_slice"]).withColumns({
+            "_n": F.col("_n") + F.col("_past_n"), "_a": F.col("_a") + F.col("_past_a"),
+        })
     return counted.select(
         "_row.*",
-        F.col("txn_count").cast("bigint").alias("txn_count"),
-        F.col("total_amount").cast("decimal(24,2)").alias("total_amount"),
+        F.col("_n").cast("bigint").alias("txn_count"),
+        F.col("_a").cast("decimal(24,2)").alias("total_amount"),
     )
 
 
