@@ -20,16 +20,19 @@ MESSAGE_SOURCES = ("event", "envelope", "data")
 
 def envelope_error(body: Column) -> Column:
     """Why a message body is no envelope; NULL if it is one."""
-    keys = F.json_object_keys(body)
     # One complete JSON value: inside brackets it makes an array of exactly one element.
     whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-    missing = F.size(F.array_except(
-        F.array(*[F.lit(name) for name in REQUIRED_ENVELOPE_FIELDS]), keys))
-    return (
-        F.when(keys.isNull() | ~F.coalesce(whole, F.lit(False)), "not a JSON object")
-        .when(F.size(unknown_fields(keys, ENVELOPE_FIELDS)) > 0, "unknown field")
-        .when(missing > 0, "missing field")
-    )
+    required = F.array(*[F.lit(name) for name in REQUIRED_ENVELOPE_FIELDS])
+
+    def reason(keys: Column) -> Column:
+        return (
+            F.when(keys.isNull() | ~F.coalesce(whole, F.lit(False)), "not a JSON object")
+            .when(F.size(unknown_fields(keys, ENVELOPE_FIELDS)) > 0, "unknown field")
+            .when(F.size(F.array_except(required, keys)) > 0, "missing field")
+        )
+
+    # The keys are bound once instead of being parsed again for each of the three tests.
+    return F.transform(F.array(F.json_object_keys(body)), reason)[0]
 
 
 def decode_envelope(
@@ -41,8 +44,11 @@ def decode_envelope(
     are expected as JSON text in `flat`.
     """
     sources = [name for name in (*MESSAGE_SOURCES, "flat") if name in raw.columns]
-    body = raw.select(key, *keep, F.coalesce(*sources).alias("body")).withColumn(
-        "error", envelope_error(F.col("body")))
+    # Body and check come out of one generator, so a filter on the check cannot make Spark
+    # evaluate the body again for each of its uses.
+    checked = F.transform(F.array(F.coalesce(*sources)), lambda text: F.struct(
+        text.alias("body"), envelope_error(text).alias("error")))
+    body = raw.select(key, *keep, F.inline(checked))
     fields = F.from_json("body", ENVELOPE)
     ok = body.where("error IS NULL").withColumn("_e", fields).select(
         key, *keep,

@@ -20,6 +20,7 @@ from fraudloom.functions.columns import min_max
 from fraudloom.operators.features import (
     COUNTRY_RISK_TIERS, FEATURES, MERCHANT_CATEGORY_RISK,
 )
+from fraudloom.session import materialize
 
 FEATURE_COLUMNS = [f"f_{name}" for name in FEATURES]
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, path_length double"
@@ -111,7 +112,12 @@ def iforest_fit(
     features: DataFrame, n_trees: int = 100, contamination: float = 0.05, seed: int = 42,
     sample_size: int = 256, key: str = "transaction_id",
 ) -> Forest:
-    """Fits a forest and calibrates its score bounds on all rows of `features`."""
+    """Fits a forest and calibrates its score bounds on all rows of `features`.
+
+    The six columns in use are written once to the shared folder; counting, sampling and
+    calibration read them from there instead of computing the features three times.
+    """
+    features = materialize(features.select(key, *FEATURE_COLUMNS), "features")
     total = features.count()
     if total == 0:
         raise ValueError("cannot fit a forest on no rows")

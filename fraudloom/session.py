@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "fraudloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +50,10 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = os.path.join(tempfile.gettempdir(), "fraudloom")
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back, so later steps do not repeat it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
