@@ -8,7 +8,8 @@ from fraudloom.operators import isolation
 from fraudloom.operators.features import extract_features, velocity_trailing
 from fraudloom.plans.detection import detect
 from fraudloom.registry.core import query, sql
-from fraudloom.registry.detection import CFG, MINUTES, VELOCITY
+from fraudloom.functions.columns import lower_code, upper_code
+from fraudloom.registry.detection import CFG, MINUTES, STEPS, VELOCITY
 from fraudloom.session import shared_dir
 
 FEATURES_SQL = """
@@ -103,14 +104,56 @@ def metadata(t):
         (F.col("min_score") < F.col("max_score")).alias("bounds_ordered"))
 
 
-@query("load_model_tables")
+@query("load_model_tables", sql("txn", """
+    SELECT transaction_id, f_country_risk_tier AS country_risk, f_merchant_category_code AS category_risk FROM feats""",
+    vel=VELOCITY, feats=FEATURES_SQL))
 def loaded(t):
+    """Lookups through the two dimension tables of a saved model."""
+    path = shared_dir(t.spark, "model")
+    isolation.save_model(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=10), path)
+    tiers, categories = isolation.lookup_tables(
+        isolation.read_metadata(t.spark, f"{path}/metadata"))
+    tiers = tiers.withColumnRenamed("risk", "country_risk")
+    categories = categories.withColumnRenamed("risk", "category_risk")
+    return (
+        t.txn.join(tiers, upper_code("country") == tiers["name"], "left")
+        .join(categories, lower_code("merchant_category") == categories["name"], "left")
+        .select("transaction_id", F.coalesce("country_risk", F.lit(0.3)).alias("country_risk"),
+                F.coalesce("category_risk", F.lit(0.3)).alias("category_risk"))
+    )
+
+
+@query("score_with_saved_model")
+def reloaded(t):
     path = shared_dir(t.spark, "model")
     isolation.save_model(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=20), path)
     forest = isolation.load_model(t.spark, path)
     return isolation.iforest_score(feature_rows(t), forest).select("transaction_id", "ml_score")
 
 
+ML_STEPS = {
+    **{name: STEPS[name] for name in ("vel", "enriched", "rules", "matched", "scored")},
+    "feats": FEATURES_SQL, "paths": FIXED_PATHS,
+    "mls": f"""
+    SELECT transaction_id, CAST(round(least(1e0, greatest(0e0, (pow(2e0, -(total / 3e0) / {PATH_256}) - 0.6e0 + 0.4e0) / 0.7e0)), 4)
+      AS DECIMAL(5,4)) AS ml_anomaly_score FROM paths""",
+    "composed": """
+    SELECT s.*, m.ml_anomaly_score, CAST(round(least(1, 0.5 * rule_severity_score + 0.3 * ml_anomaly_score + 0.2 * user_risk_score), 4)
+      AS DECIMAL(5,4)) AS composite_risk_score FROM scored s JOIN mls m ON m.transaction_id = s.transaction_id""",
+    "decided": STEPS["decided"],
+}
+
+
+@query("detect_with_forest", sql("txn risk_profiles_fx", """
+    SELECT transaction_id, should_alert, severity, composite_risk_score, ml_anomaly_score, explanation FROM decided""",
+    **ML_STEPS))
+def forest_detection(t):
+    """The whole hybrid decision with a forest whose paths are known."""
+    found = detect(t.txn, t.risk_profiles_fx, seeded_rules(t.spark), fixed_forest(-0.6), CFG)
+    return found.select("transaction_id", "should_alert", "severity", "composite_risk_score",
+                        "ml_anomaly_score", "explanation")
+
+
 @query("detect_with_model")
 def full_detection(t):
     forest = isolation.iforest_fit(feature_rows(t))

@@ -20,7 +20,7 @@ from fraudloom.registry.messaging import DECODED, ENVELOPE, FAILED
 from fraudloom.session import prepare, shared_dir
 from fraudloom.sources.streams import event_stream_from_start, file_stream, transaction_stream
 from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
-from fraudloom.streaming.pipelines import (
+from fraudloom.streaming.flows import (
     stream_dedup, stream_detect, stream_notifications, stream_relay, stream_retry_status,
     stream_volume_5m, write_files,
 )

@@ -12,7 +12,7 @@ from fraudloom.registry.streams import tune
 from fraudloom.session import shared_dir
 from fraudloom.sources.streams import file_stream
 from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
-from fraudloom.streaming.pipelines import stream_dedup, stream_detect, stream_volume_5m, write_files
+from fraudloom.streaming.flows import stream_dedup, stream_detect, stream_volume_5m, write_files
 from fraudloom.streaming.velocity import stream_velocity
 
 START = datetime.datetime(2024, 1, 1)
