@@ -97,14 +97,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                WHEN a.id % 3 = 1 THEN a.created_at + INTERVAL 9 MINUTE
                ELSE a.created_at + INTERVAL 40 MINUTE END AS acted_at
         FROM alerts_fx a CROSS JOIN (VALUES (0),(1)) AS n(n) WHERE a.id % 7 <> 0"""),
-    "fp_fx": (("alerts_fx",), """
-        SELECT id AS event_id, id AS alert_id, user_id,
-          created_at + INTERVAL 20 MINUTE AS resolved_at
-        FROM alerts_fx WHERE id % 5 < 2"""),
+    "fp_fx": (("alerts_mix",), """
+        SELECT id AS event_id, id AS alert_id, user_id, resolved_at
+        FROM alerts_mix WHERE status = 'FALSE_POSITIVE'"""),
     "history_fx": ((), """
-        SELECT event_id AS change_id, user_id, ts AS changed_at,
+        SELECT event_id AS change_id, user_id, ts + (event_id % 7) * INTERVAL 1 HOUR AS changed_at,
           CAST((event_id % 101) * 0.0099 AS DECIMAL(5,4)) AS risk_score
-        FROM events WHERE event_id % 6 = 0"""),
+        FROM events"""),
     "rules_tab": ((), """
         SELECT concat('r', CAST(c_custkey AS STRING)) AS id, concat('Rule ', CAST(c_custkey AS STRING)) AS name,
           CASE WHEN c_custkey % 23 = 0 THEN 'UNKNOWN_TYPE' WHEN c_custkey % 5 = 0 THEN 'AMOUNT_THRESHOLD'
@@ -191,7 +190,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             WHEN 6 THEN 'escalation.slack.requested' WHEN 7 THEN 'risk_profile.recalculate'
             ELSE 'custom.event' END AS event_type,
           '1.0' AS event_version,
-          CASE WHEN transaction_id % 19 = 0 THEN '"plain"'
+          CASE WHEN transaction_id % 9 = 8 THEN '"plain"'
                ELSE concat('{"', CASE WHEN transaction_id % 2 = 0 THEN 'alert_id' ELSE 'id' END,
                  '":"', CAST(transaction_id AS STRING), '"',
                  CASE WHEN transaction_id % 3 = 0 THEN ',"status":"BLOCKED"' ELSE '' END,

@@ -250,17 +250,16 @@ def submit(t):
     return merge.idempotent_submit(t.txn_submissions)
 
 
-@query("upsert_table", sql("risk_profiles_fx users_fx", """
+@query("upsert_table", sql("risk_profiles_fx txn", """
     SELECT coalesce(p.user_id, d.user_id) AS user_id,
       CASE WHEN d.user_id IS NOT NULL THEN d.risk_score ELSE p.risk_score END AS risk_score,
       CASE WHEN p.user_id IS NULL THEN d.total_alerts ELSE p.total_alerts END AS total_alerts
     FROM risk_profiles_fx p FULL OUTER JOIN (
-      SELECT id AS user_id, CAST((id % 100) * 0.01 AS DECIMAL(5,4)) AS risk_score, CAST(0 AS INT) AS total_alerts
-      FROM users_fx WHERE id % 3 = 0) d ON d.user_id = p.user_id"""))
+      SELECT user_id, CAST(least(1, count(*) * 0.01) AS DECIMAL(5,4)) AS risk_score, CAST(0 AS INT) AS total_alerts
+      FROM txn GROUP BY user_id) d ON d.user_id = p.user_id"""))
 def upserted(t):
-    delta = t.users_fx.where("id % 3 = 0").select(
-        F.col("id").alias("user_id"),
-        F.expr("CAST((id % 100) * 0.01 AS DECIMAL(5,4))").alias("risk_score"),
+    delta = t.txn.groupBy("user_id").agg(
+        F.expr("CAST(least(1, count(*) * 0.01) AS DECIMAL(5,4))").alias("risk_score"),
         F.lit(0).alias("total_alerts"))
     base = t.risk_profiles_fx.select("user_id", "risk_score", "total_alerts")
     return merge.upsert_table(base, delta, ["user_id"], ["risk_score"])
@@ -281,21 +280,21 @@ def last_writes(t):
       CASE WHEN s.id IS NOT NULL THEN s.status ELSE c.status END AS status,
       CASE WHEN s.id IS NOT NULL THEN s.is_demo ELSE FALSE END AS is_demo,
       CASE WHEN s.id IS NOT NULL THEN 'rest-sync' ELSE c.correlation_id END AS correlation_id
-    FROM (SELECT * FROM alerts_fx WHERE id % 3 <> 0) c
-    FULL OUTER JOIN (SELECT * FROM alerts_mix WHERE id % 2 = 0) s ON s.id = c.id"""))
+    FROM (SELECT * FROM alerts_fx WHERE severity <> 'LOW') c
+    FULL OUTER JOIN (SELECT * FROM alerts_mix WHERE status <> 'PENDING') s ON s.id = c.id"""))
 def reconciled(t):
-    cached = t.alerts_fx.where("id % 3 <> 0").select("id", "status", "correlation_id")
-    server = t.alerts_mix.where("id % 2 = 0").select("id", "status", "is_demo")
+    cached = t.alerts_fx.where("severity <> 'LOW'").select("id", "status", "correlation_id")
+    server = t.alerts_mix.where("status <> 'PENDING'").select("id", "status", "is_demo")
     return merge.reconcile_alerts(cached, server)
 
 
 @query("prepend_new_alert", sql("alerts_fx", """
-    SELECT id, 'ESCALATED_SLACK' AS status, 0 AS position FROM alerts_fx WHERE id % 4 = 0
-    UNION ALL SELECT id, status, 1 FROM alerts_fx WHERE id % 4 <> 0"""))
+    SELECT id, 'ESCALATED_SLACK' AS status, 0 AS position FROM alerts_fx WHERE severity = 'HIGH'
+    UNION ALL SELECT id, status, 1 FROM alerts_fx WHERE severity <> 'HIGH'"""))
 def prepended(t):
-    alerts = t.alerts_fx.select("id", "status")
-    created = alerts.where("id % 4 = 0").withColumn("status", F.lit("ESCALATED_SLACK"))
-    return merge.prepend_new_alert(alerts, created)
+    created = t.alerts_fx.where("severity = 'HIGH'").select(
+        "id", F.lit("ESCALATED_SLACK").alias("status"))
+    return merge.prepend_new_alert(t.alerts_fx.select("id", "status"), created)
 
 
 @query("idempotent_seed_load", sql("users_fx", """
