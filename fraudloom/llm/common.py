@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,8 +41,8 @@ def in_pieces(batches: Iterator[pa.RecordBatch], text: str = "text",
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(np.asarray(pa.compute.fill_null(
-            pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0)))
+        sizes = np.cumsum(np.asarray(pc.fill_null(
+            pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)))
         begin = 0
         while begin < batch.num_rows:
             base = sizes[begin - 1] if begin else 0
