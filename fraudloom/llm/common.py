@@ -90,13 +90,6 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the parts that have elements, and the indices of those parts."""
-    filled = np.flatnonzero(lengths)
-    ends = np.cumsum(lengths)
-    return (ends - lengths)[filled], filled
-
-
 # Character classes; the value of a word is the union of the classes of its characters.
 LOWER, UPPER, DIGIT, MARK, SHOUT, STOP, OTHER = 1, 2, 4, 8, 16, 32, 64
 SHAPES = 128
