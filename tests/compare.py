@@ -22,7 +22,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def connect(sf_dir: str):
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet{'/*.parquet' if Path(sf_dir, name + '.parquet').is_dir() else ''}'")
     return con
 
 
