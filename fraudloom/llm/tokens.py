@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -52,52 +53,50 @@ class IdEncoder:
         return "whole"
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in
-                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _remember(self, missing: set[str]) -> None:
-        """Learns the given pieces, each by its parts."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([4 * len(x) for x in ids], dtype=np.int64).tolist()
+        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4 if ends else 0)
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of the given pieces. Only their parts are remembered, which recur far more often."""
         pattern = _LEADING_PIECE if self.layout == "leading" else _PIECE
-        young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        split = {piece: pattern.findall(piece) for piece in missing}
-        todo = {}
-        for parts in split.values():
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old, known, split, new = self.young, self.old, {}, {}, {}
+        for piece in pieces:
+            ids = young.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
+            parts = split[piece] = pattern.findall(piece)
             for part in parts:
-                if part not in young and part not in todo:
-                    todo[part] = old.get(part)
-        new = [part for part, ids in todo.items() if ids is None]
-        todo.update(zip(new, self._encode(new)))
-        young.update(todo)
+                if part not in young:
+                    ids = old.get(part)
+                    if ids is None:
+                        new[part] = None
+                    else:
+                        young[part] = ids
+        young.update(zip(new, self._encode(list(new))))
         for piece, parts in split.items():
-            if len(parts) != 1:
-                young[piece] = b"".join([young[part] for part in parts])
+            known[piece] = b"".join([young[part] for part in parts])
+        return known
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if self.layout == "whole":
             return self._encode(texts)
-        out, pieces_of, missing = [b""] * len(texts), [], set()
+        out, pieces_of, distinct = [b""] * len(texts), [], set()
         for i, text in enumerate(texts):
             if _UNSURE.search(text):
                 out[i] = self._encode([text])[0]
                 continue
             pieces = self._pieces(text)
             pieces_of.append((i, pieces))
-            missing.update(pieces)
-        if len(missing) < 1_000_000:
-            young = self.young
-            missing = {p for p in missing if p not in young}
-        if missing:
-            self._remember(missing)
-        get = self.young.__getitem__
+            distinct.update(pieces)
+        get = self._learn(distinct).__getitem__
         for i, pieces in pieces_of:
-            try:
-                out[i] = b"".join(map(get, pieces))
-            except KeyError:  # the generation changed meanwhile
-                self._remember({p for p in pieces if p not in self.young})
-                out[i] = b"".join(map(self.young.__getitem__, pieces))
+            out[i] = b"".join(map(get, pieces))
         return out
 
     def _pieces(self, text: str) -> list[str]:
@@ -107,27 +106,15 @@ class IdEncoder:
                 or "\n\n" in text or not text.isascii() and _LEADING_ODD.search(text) \
                 or text[:1].isspace() or text[-1:].isspace():
             return _LEADING_PIECE.findall(text)
-        first, *rest = text.replace("\n", " \n ").split(" ")
-        return _lead(first, rest)
+        if "\0" in text:
+            return _LEADING_PIECE.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
 
 
 #: White space beyond ASCII, and the rare ASCII ones.
 _LEADING_ODD = re.compile(r"[^\S \n]")
 
 
-def _lead(first: str, rest: list[str]) -> list[str]:
-    """Gives the space before each word back; a line end stands alone and takes none."""
-    out, bare = [first] if first else [], False
-    for piece in rest:
-        if piece == "\n":
-            out.append(piece)
-            bare = True
-        else:
-            out.append(piece if bare else " " + piece)
-            bare = False
-    return out
-
-
 def encoder(path: str) -> IdEncoder:
     """One encoder per worker process and file."""
     if path not in _ENCODERS:
