@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from fraudloom.llm.common import SPACES
 
@@ -34,7 +35,7 @@ def _windows(found: Column, min_chars: int) -> Column:
         F.sequence(F.lit(0), F.size(found) - WIDTH), window))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_lines(texts: pd.Series, starts: pd.Series) -> pd.Series:
     """Each text without the lines that the windows at `starts` cover; None where there are none."""
     out = []

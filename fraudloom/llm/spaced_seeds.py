@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from fraudloom.llm.common import in_pieces, to_arrow, written
 
-#: Fixed masks; 1 marks a position that is looked at.
-MASKS = ("11111111", "110100110111", "111011001011", "101110010100111")
+#: Fixed masks; 1 marks a position that is looked at. Of any stretch of 10 to 12 words of which two
+#: are substituted, or of 15 of which three are, one of them looks at equal words only.
+MASKS = ("11111", "111011", "11001011")
 SPAN = max(map(len, MASKS))
 #: Items of fewer words are not searched for.
 MIN_ITEM = 5
