@@ -18,11 +18,11 @@ class ScoringConfig:
 
 @dataclass(frozen=True)
 class LifecycleConfig:
-    """Escalation delays in minutes and the size of one escalation batch."""
+    """Escalation delays in minutes; `batch_size` limits a tier of one tick where it is set."""
 
     email_minutes: int = 5
     slack_minutes: int = 10
-    batch_size: int = 50
+    batch_size: int | None = None
 
 
 @dataclass(frozen=True)

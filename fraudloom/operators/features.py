@@ -36,9 +36,13 @@ def velocity_trailing(
     The window is m slices long. A transaction in slice k needs the start of its own slice,
     the end of slice k-m and the whole slices between. Each row goes to its own slice as an
     addition and, as a slim copy moved forward by the window length, to slice k+m as a
-    subtraction at the moment it leaves the window. What slices k-m..k-1 hold is added up front:
-    for m = 1 by a third slim copy at the start of the slice, else from per-slice totals. One
-    running sum over a slice then gives the result, so the work is linear after its sort.
+    subtraction at the moment it leaves the window. What slices k-m..k-1 hold is added up front,
+    at the start of the slice: for m = 1 by a third slim copy, else by one entry made from
+    per-slice totals. One running sum over a slice then gives the result, so the work is linear
+    after its sort.
+
+    Every row comes back. Rows without a user count among themselves, as in a SQL window, and so
+    do rows of a user without a time; a missing amount adds nothing.
     """
     m = slices_per_window(minutes)
     window_us = minutes * MINUTE_US
@@ -65,27 +69,23 @@ def velocity_trailing(
         Window.partitionBy(user, "_slice").orderBy("_at")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counted = base.select(user, F.inline(F.array(*entries))).select(
-        user, "_slice", "_row", F.sum("_n").over(so_far).alias("_n"),
-        F.sum("_a").over(so_far).alias("_a"),
-    ).where("_row IS NOT NULL")
-
+    moves = base.select(user, F.inline(F.array(*entries)))
     if m > 1:
         per_slice = base.groupBy(user, "_slice").agg(
             F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_a")
         )
         past = Window.partitionBy(user).orderBy("_slice").rangeBetween(-m, -1)
-        counted = counted.join(per_slice.select(
-            user, "_slice",
-            F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_past_n"),
-            F.coalesce(F.sum("_a").over(past), F.lit(0)).alias("_past_a"),
-        ), [user, "_slice"]).withColumns({
-            "_n": F.col("_n") + F.col("_past_n"), "_a": F.col("_a") + F.col("_past_a"),
-        })
-    return counted.select(
+        moves = moves.unionByName(per_slice.select(
+            user, "_slice", (F.col("_slice") * (2 * width) - 1).alias("_at"),
+            F.sum("_n").over(past).alias("_n"), F.sum("_a").over(past).alias("_a"),
+            slim.alias("_row"),
+        ))
+    return moves.select(
+        "_row", F.sum("_n").over(so_far).alias("_n"), F.sum("_a").over(so_far).alias("_a"),
+    ).where("_row IS NOT NULL").select(
         "_row.*",
         F.col("_n").cast("bigint").alias("txn_count"),
-        F.col("_a").cast("decimal(24,2)").alias("total_amount"),
+        F.coalesce("_a", F.lit(0)).cast("decimal(24,2)").alias("total_amount"),
     )
 
 
@@ -106,17 +106,21 @@ def profile_as_of(
     txns: DataFrame, history: DataFrame, ts: str = "created_at", changed: str = "changed_at",
     seq: str = "change_id", slice_minutes: int = 60,
 ) -> DataFrame:
-    """Adds `risk_score`, the user's latest profile score at or before the transaction time."""
+    """Adds `risk_score`, the user's latest profile score at or before the transaction time.
+
+    Changes at the same moment are ordered by `seq` as it is, a number or a text. Transactions
+    without user or time get 0; changes without user or time are no one's.
+    """
     width = slice_minutes * MINUTE_US
     fields = [c for c in txns.columns if c != "user_id"]
     left = txns.select(
         "user_id", micros(ts).alias("_us"), F.lit(1).alias("_kind"),
-        F.lit(None).cast("bigint").alias("_seq"), F.lit(None).cast(SCORE).alias("_score"),
-        F.struct(*fields).alias("_row"),
+        F.lit(None).cast(history.schema[seq].dataType).alias("_seq"),
+        F.lit(None).cast(SCORE).alias("_score"), F.struct(*fields).alias("_row"),
     )
-    right = history.select(
+    right = history.where(F.col("user_id").isNotNull() & F.col(changed).isNotNull()).select(
         "user_id", micros(changed).alias("_us"), F.lit(0).alias("_kind"),
-        F.col(seq).cast("bigint").alias("_seq"), F.col("risk_score").alias("_score"),
+        F.col(seq).alias("_seq"), F.col("risk_score").alias("_score"),
     )
     both = left.unionByName(right, allowMissingColumns=True).withColumn(
         "_slice", whole_slices(F.col("_us"), width)

@@ -64,13 +64,18 @@ def resolve_alerts(alerts: DataFrame, actions: DataFrame) -> tuple[DataFrame, Da
 
 
 def due_alerts(
-    alerts: DataFrame, now: Column, status: str, since: str, minutes: int, limit: int = 50,
+    alerts: DataFrame, now: Column, status: str, since: str, minutes: int,
+    limit: int | None = 50,
 ) -> DataFrame:
-    """The oldest alerts of a status that waited at least `minutes`."""
-    return (
-        alerts.where((F.col("status") == status) & (F.col(since) <= now - _minutes(minutes)))
-        .orderBy(F.col(since).asc(), F.col("id").asc()).limit(limit)
-    )
+    """The oldest alerts of a status that waited at least `minutes`; all of them without limit."""
+    due = alerts.where(_is_due(now, status, since, minutes))
+    if limit is None:
+        return due
+    return due.orderBy(F.col(since).asc(), F.col("id").asc()).limit(limit)
+
+
+def _is_due(now: Column, status: str, since: str, minutes: int) -> Column:
+    return (F.col("status") == status) & (F.col(since) <= now - _minutes(minutes))
 
 
 def escalation_tick(
@@ -78,13 +83,16 @@ def escalation_tick(
 ) -> tuple[DataFrame, DataFrame]:
     """One tick at time `now`: the changed alert table and the escalations made.
 
-    Each tier takes at most `batch_size` alerts, so that is all that is ever broadcast.
+    Every due alert moves, without a join. With a `batch_size` each tier takes its oldest ones.
     """
     def escalate(table: DataFrame, source: str, since: str, minutes: int, target: str, stamp: str):
-        due = due_alerts(table, now, source, since, minutes, cfg.batch_size).select(
-            "id", F.lit(True).alias("_due"))
-        hit = F.coalesce("_due", F.lit(False))
-        return table.join(F.broadcast(due), "id", "left").withColumns({
+        due = due_alerts(table, now, source, since, minutes, cfg.batch_size)
+        if cfg.batch_size is None:
+            hit = _is_due(now, source, since, minutes)
+        else:
+            table = table.join(due.select("id", F.lit(True).alias("_due")), "id", "left")
+            hit = F.col("_due")
+        return table.withColumns({
             "status": F.when(hit, target).otherwise(F.col("status")),
             stamp: F.when(hit, now).otherwise(F.col(stamp)),
         }).drop("_due"), due
@@ -95,13 +103,12 @@ def escalation_tick(
     after_slack, slack = escalate(
         after_email, "ESCALATED_EMAIL", "escalated_email_at", cfg.slack_minutes,
         "ESCALATED_SLACK", "escalated_slack_at")
-    made = email.select("id", F.lit("email").alias("level")).unionByName(
-        slack.select("id", F.lit("slack").alias("level"))
+    fields = [
+        "id", "transaction_id", "user_id", "severity", "composite_risk_score", "correlation_id"]
+    made = email.select(*fields, F.lit("email").alias("level")).unionByName(
+        slack.select(*fields, F.lit("slack").alias("level"))
     )
-    escalations = alerts.select(
-        "id", "transaction_id", "user_id", "severity", "composite_risk_score", "correlation_id",
-    ).join(F.broadcast(made), "id").withColumn("escalated_at", now)
-    return after_slack, escalations
+    return after_slack, made.withColumn("escalated_at", now)
 
 
 def lifecycle_replay(

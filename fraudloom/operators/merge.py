@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 def first_per_key(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
-    """The first row of every key. An aggregate, so repeated keys shrink before the shuffle."""
+    """The first row of every key. An aggregate, so repeated keys shrink before the shuffle.
+
+    A row without a key repeats no other and stays, as under a unique constraint.
+    """
     keys = [key] if isinstance(key, str) else key
+    keyed = _has_key(keys)
     row = F.struct(*df.columns)
-    return df.groupBy(*keys).agg(
+    return df.where(keyed).groupBy(*keys).agg(
         F.min_by(row, F.struct(*order)).alias("_row")
-    ).select("_row.*")
+    ).select("_row.*").unionByName(df.where(~keyed))
+
+
+def _has_key(keys: list[str]) -> Column:
+    return reduce(and_, [F.col(name).isNotNull() for name in keys])
 
 
 def latest_per_key(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
@@ -32,11 +43,13 @@ def upsert_table(
 ) -> DataFrame:
     """Inserts the rows of `delta`; on conflict keeps the base row or takes `update_cols`.
 
-    `delta` must hold each key once. One full outer join, so both sides are shuffled once.
+    A key that `delta` repeats takes its greatest row, compared column by column; columns that
+    cannot be compared, such as maps, are not for this. One full outer join, so the base is
+    shuffled once.
     """
     update_cols = update_cols or []
     left = base.select(*keys, F.struct(*base.columns).alias("_old"))
-    right = delta.select(*keys, F.struct(*delta.columns).alias("_new"))
+    right = delta.groupBy(*keys).agg(F.max(F.struct(*delta.columns)).alias("_new"))
     joined = left.join(right, keys, "full_outer")
 
     def value(name: str) -> Column:
@@ -58,19 +71,24 @@ def idempotent_submit(
     """Answers every submission: accepted, or duplicate with the first one's id and status.
 
     A key repeated very often stays in one partition of the join only until adaptive execution
-    splits it; the first row per key is found by a partial aggregate.
+    splits it; the first row per key is found by a partial aggregate. Submissions without a key
+    are always accepted and take no part in either shuffle.
     """
-    first = submissions.groupBy(key).agg(
+    keyed = submissions.where(F.col(key).isNotNull())
+    first = keyed.groupBy(key).agg(
         F.min(F.struct(ts, ident, "status")).alias("_first")
     )
-    answered = submissions.join(first, key)
     is_first = F.col(ident) == F.col(f"_first.{ident}")
-    return answered.select(
+    answered = keyed.join(first, key).select(
         F.col(ident).alias("submission_id"), key,
         F.when(is_first, "accepted").otherwise("duplicate").alias("outcome"),
         F.col(f"_first.{ident}").alias("transaction_id"),
         F.col("_first.status").alias("status"),
     )
+    return answered.unionByName(submissions.where(F.col(key).isNull()).select(
+        F.col(ident).alias("submission_id"), key, F.lit("accepted").alias("outcome"),
+        F.col(ident).alias("transaction_id"), "status",
+    ))
 
 
 def reconcile_alerts(cached: DataFrame, server: DataFrame) -> DataFrame:

@@ -74,6 +74,13 @@ def _profile_events(alerts: DataFrame, fp_events: DataFrame) -> DataFrame:
     ))
 
 
+def _with_opening(events: DataFrame, opening: DataFrame) -> DataFrame:
+    """Events next to what their (user, slice) opens with, also where either is missing."""
+    right = opening.withColumnsRenamed({"user_id": "_user", "_slice": "_of"})
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_slice").eqNullSafe(F.col("_of"))
+    return events.join(right, same, "left").drop("_user", "_of")
+
+
 def running_profile(
     alerts: DataFrame, fp_events: DataFrame, profiles: DataFrame | None = None,
     slice_hours: int = 24,
@@ -81,6 +88,7 @@ def running_profile(
     """Running alert and false-positive counts of the user at every event.
 
     Counts of earlier slices come from per-slice totals, so a busy user spreads over slices.
+    Events without a user stay and count among themselves.
     """
     events = _profile_events(alerts, fp_events).withColumn(
         "_slice", whole_slices(micros("ts"), slice_hours * 60 * MINUTE_US)
@@ -103,7 +111,7 @@ def running_profile(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     zero = F.lit(0)
-    return events.join(opening, ["user_id", "_slice"]).select(
+    return _with_opening(events, opening).select(
         "user_id", "ts", "kind", "event_id", "_slice",
         (F.sum(1 - F.col("kind")).over(so_far) + F.col("_alerts") + F.coalesce("_a0", zero))
         .cast("bigint").alias("total_alerts"),
@@ -131,7 +139,7 @@ def profile_history(
         Window.partitionBy("user_id", "_slice").orderBy("ts", "kind", "event_id")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return running.join(opening, ["user_id", "_slice"], "left").select(
+    return _with_opening(running, opening).select(
         "user_id", "ts", "kind", "event_id", "total_alerts", "false_positive_count",
         F.coalesce(F.last("_set", ignorenulls=True).over(so_far), "_opening", "_s0")
         .alias("risk_score"),

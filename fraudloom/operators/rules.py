@@ -294,11 +294,7 @@ def evaluate_rules(
     order = ["rule_order", "id"]
     active = active.select(*RULE_COLUMNS)
     rows = active.orderBy(*order).limit(compile_limit + 1).collect()
-    if not rows:
-        kind = ("array<struct<rule_id:string,rule_name:string,rule_type:string,severity:string,"
-                "explanation:string,parameters_snapshot:string,matched_at:timestamp>>")
-        return enriched.withColumn(column, F.array().cast(kind))
-    if len(rows) <= compile_limit:
+    if 0 < len(rows) <= compile_limit:
         return enriched.withColumn(column, _compiled(rows, window_minutes))
     ordered = active.select(F.sort_array(F.collect_list(F.struct(
         *order, *[c for c in RULE_COLUMNS if c not in order]

@@ -51,13 +51,15 @@ def resolved(t):
 
 DUE = f"""
     SELECT id, 'email' AS level FROM (SELECT * FROM alerts_mix WHERE status = 'PENDING'
-      AND created_at <= TIMESTAMP '{TICK}' - INTERVAL 5 MINUTE ORDER BY created_at, id LIMIT 50) e
+      AND created_at <= TIMESTAMP '{TICK}' - INTERVAL 5 MINUTE) e
     UNION ALL
     SELECT id, 'slack' FROM (SELECT * FROM alerts_mix WHERE status = 'ESCALATED_EMAIL'
-      AND escalated_email_at <= TIMESTAMP '{TICK}' - INTERVAL 10 MINUTE ORDER BY escalated_email_at, id LIMIT 50) s"""
+      AND escalated_email_at <= TIMESTAMP '{TICK}' - INTERVAL 10 MINUTE) s"""
 
 
-@query("due_alerts", sql("alerts_mix", "SELECT id FROM due WHERE level = 'email'", due=DUE))
+@query("due_alerts", sql("alerts_mix", f"""
+    SELECT id FROM alerts_mix WHERE status = 'PENDING' AND created_at <= TIMESTAMP '{TICK}' - INTERVAL 5 MINUTE
+    ORDER BY created_at, id LIMIT 50"""))
 def due(t):
     return lifecycle.due_alerts(t.alerts_mix, at(TICK), "PENDING", "created_at", 5).select("id")
 

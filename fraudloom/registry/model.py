@@ -93,10 +93,10 @@ def fitted(t):
 
 @query("model_metadata", sql("txn", """
     SELECT '1.0.0' AS model_version, count(*) AS training_sample_size, CAST(least(256, count(*)) AS INT) AS sample_size,
-      0.05e0 AS contamination, CAST(20 AS INT) AS n_estimators, CAST(5 AS INT) AS features, CAST(17 AS INT) AS country_tiers,
+      0.05e0 AS contamination, CAST(100 AS INT) AS n_estimators, CAST(5 AS INT) AS features, CAST(17 AS INT) AS country_tiers,
       CAST(13 AS INT) AS categories, TRUE AS bounds_ordered FROM txn"""))
 def metadata(t):
-    found = isolation.model_metadata(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=20))
+    found = isolation.model_metadata(t.spark, isolation.iforest_fit(feature_rows(t)))
     return found.select(
         "model_version", "training_sample_size", "sample_size", "contamination", "n_estimators",
         F.size("feature_names").alias("features"), F.size("country_risk_tiers").alias("country_tiers"),
@@ -110,7 +110,7 @@ def metadata(t):
 def loaded(t):
     """Lookups through the two dimension tables of a saved model."""
     path = shared_dir(t.spark, "model")
-    isolation.save_model(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=10), path)
+    isolation.save_model(t.spark, isolation.iforest_fit(feature_rows(t)), path)
     tiers, categories = isolation.lookup_tables(
         isolation.read_metadata(t.spark, f"{path}/metadata"))
     tiers = tiers.withColumnRenamed("risk", "country_risk")
@@ -126,7 +126,7 @@ def loaded(t):
 @query("score_with_saved_model")
 def reloaded(t):
     path = shared_dir(t.spark, "model")
-    isolation.save_model(t.spark, isolation.iforest_fit(feature_rows(t), n_trees=20), path)
+    isolation.save_model(t.spark, isolation.iforest_fit(feature_rows(t)), path)
     forest = isolation.load_model(t.spark, path)
     return isolation.iforest_score(feature_rows(t), forest).select("transaction_id", "ml_score")
 
@@ -160,3 +160,40 @@ def full_detection(t):
     found = detect(t.txn, t.risk_profiles_fx, seeded_rules(t.spark), forest, CFG)
     return found.select("transaction_id", "should_alert", "severity", "composite_risk_score",
                         F.col("ml_anomaly_score"))
+
+
+@query("iforest_tree_shape", "SELECT CAST(range AS INT) AS tree, TRUE AS rooted, TRUE AS binary FROM range(100)")
+def tree_shapes(t):
+    """Every tree of a fresh forest has its root and one leaf more than inner nodes."""
+    nodes = t.spark.createDataFrame(isolation.iforest_fit(feature_rows(t)).nodes, isolation.NODE_SCHEMA)
+    inner = F.count_if(F.col("feature") >= 0)
+    return nodes.groupBy(F.col("tree").cast("int").alias("tree")).agg(
+        (F.min("node") == 0).alias("rooted"),
+        (F.count_if(F.col("feature") < 0) == inner + 1).alias("binary"))
+
+
+@query("saved_model_differences", sql("txn", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS differences FROM txn"))
+def saved_differences(t):
+    """Rows that a saved and reloaded forest scores otherwise than the fresh one: none."""
+    rows, path = feature_rows(t), shared_dir(t.spark, "model")
+    fresh = isolation.iforest_fit(rows)
+    isolation.save_model(t.spark, fresh, path)
+    forest = isolation.load_model(t.spark, path)
+    both = isolation.iforest_score(rows, fresh).withColumnRenamed("ml_score", "fresh_score")
+    both = isolation.iforest_score(both, forest)
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("ml_score").eqNullSafe(F.col("fresh_score"))).alias("differences"))
+
+
+@query("model_decision_parts", sql("txn", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS differences FROM txn"))
+def decision_parts(t):
+    """Decisions with a fitted forest whose composite is not the weighted sum of its parts: none."""
+    forest = isolation.iforest_fit(feature_rows(t))
+    found = detect(t.txn, t.risk_profiles_fx, seeded_rules(t.spark), forest, CFG)
+    total = sum(F.col(name).cast("decimal(10,4)") * F.lit(weight).cast("decimal(2,1)") for name, weight in (
+        ("rule_severity_score", "0.5"), ("ml_anomaly_score", "0.3"), ("user_risk_score", "0.2")))
+    expected = F.round(F.least(total, F.lit(1)), 4).cast("decimal(5,4)")
+    return found.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("composite_risk_score").eqNullSafe(expected)).alias("differences"))
