@@ -53,7 +53,14 @@ def compensate_profiles(profiles: DataFrame, fp_events: DataFrame) -> DataFrame:
 
 def bump_profiles(profiles: DataFrame, alerts: DataFrame) -> DataFrame:
     """Profiles after new alerts: only the alert count rises, the score stays."""
-    counts = alerts.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("_new"))
+    return add_alert_counts(profiles, alerts.groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("int").alias("new_alerts")))
+
+
+def add_alert_counts(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """Profiles after any number of `new_alerts` per user; unknown users get a profile."""
+    counts = changes.where("user_id IS NOT NULL").groupBy("user_id").agg(
+        F.sum("new_alerts").cast("int").alias("_new"))
     joined = profiles.join(counts, "user_id", "full_outer")
     return joined.select(
         "user_id",

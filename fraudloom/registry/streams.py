@@ -49,18 +49,28 @@ def run_in_parts(
 
     `closing` holds rows written last; a time far ahead in it moves the watermark past all data.
     """
-    tune(t.spark)
-    path = shared_dir(t.spark, name, "input")
     low, high = source.agg(F.min(micros(ts)), F.max(micros(ts))).first()
     step = (high - low) // parts + 1
-    for part in range(parts):
-        start = low + part * step
-        rows = source.where((micros(ts) >= start) & (micros(ts) < start + step))
-        rows.write.mode("append").parquet(path)
-        run(path)
+    starts = [low + part * step for part in range(parts)]
+    pieces = [source.where((micros(ts) >= at) & (micros(ts) < at + step)) for at in starts]
     if closing is not None:
-        closing.select(*source.columns).write.mode("append").parquet(path)
-        run(path)
+        pieces.append(closing.select(*source.columns))
+    run_pieces(t, pieces, run, name)
+
+
+def run_pieces(
+    t: Tables, pieces: list[DataFrame], run: Callable[[str], object], name: str = "stream",
+) -> None:
+    """Writes one piece after the other into one folder and runs the query after each."""
+    path, partitions = shared_dir(t.spark, name, "input"), "spark.sql.shuffle.partitions"
+    before = t.spark.conf.get(partitions)
+    tune(t.spark)
+    try:
+        for piece in pieces:
+            piece.write.mode("append").parquet(path)
+            run(path)
+    finally:
+        t.spark.conf.set(partitions, before)
 
 
 def results(t: Tables, build: Callable[[str], DataFrame], out: str, check: str, **options):
@@ -180,6 +190,35 @@ def detected(t):
         "transaction_id", "should_alert", "severity", "composite_risk_score", "status")
 
 
+@query("stream_detect_disorder", sql("txn", """
+    SELECT transaction_id, CAST(1 AS BIGINT) AS decisions,
+      CAST(CASE WHEN transaction_id % 50 = 0 AND transaction_id % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS duplicates
+    FROM txn"""))
+def disordered(t):
+    """Rows up to the whole time span late, repeats in a later batch, some without a key."""
+    keyless = F.when(F.col("transaction_id") % 7 != 0, F.col("idempotency_key"))
+    once = timed(t.txn, "created_at").withColumn("idempotency_key", keyless)
+    half = F.pmod(F.xxhash64("transaction_id"), F.lit(2))
+    again = once.where("transaction_id % 50 = 0").withColumn(
+        "transaction_id", F.when(F.col("idempotency_key").isNull(), F.col("transaction_id"))
+        .otherwise(F.col("transaction_id") + 100000000).cast(once.schema["transaction_id"].dataType))
+    out, check = shared_dir(t.spark, "disorder"), shared_dir(t.spark, "disorder_check")
+
+    def run(path):
+        stream_detect(
+            file_stream(t.spark, path, once.schema), lambda: t.risk_profiles_fx,
+            lambda: seeded_rules(t.spark), out, check, cfg=DetectionConfig(velocity_minutes=1440),
+        ).awaitTermination()
+
+    run_pieces(t, [once.where(half == 0), once.where(half == 1).unionByName(again)], run)
+    decided = t.spark.read.parquet(f"{out}/decisions").groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("decisions"))
+    repeats = t.spark.read.parquet(f"{out}/duplicates").groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("_n"))
+    return decided.join(repeats, "transaction_id", "left").select(
+        "transaction_id", "decisions", F.coalesce("_n", F.lit(0)).alias("duplicates"))
+
+
 @query("decision_sink", sql("txn risk_profiles_fx", """
     SELECT 'alerts' AS table_name, count(*) AS rows FROM decided WHERE should_alert
     UNION ALL SELECT 'outbox_events', count(*) FROM decided WHERE should_alert

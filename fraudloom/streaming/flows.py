@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from fraudloom.config import DetectionConfig
 from fraudloom.functions.columns import derived_id
@@ -16,10 +16,15 @@ from fraudloom.operators.events import (
 )
 from fraudloom.operators.features import velocity_trailing, with_risk_profile
 from fraudloom.operators.isolation import Forest
+from fraudloom.operators.merge import first_per_key
+from fraudloom.operators.profiles import add_alert_counts
 from fraudloom.operators.scoring import build_alerts
 from fraudloom.plans.detection import decide_enriched
 from fraudloom.schemas import GROUP_PROCESSOR
-from fraudloom.sources.sinks import read_batch, read_history, write_batch, write_history
+from fraudloom.sources.sinks import (
+    ensure_table, inbox_schema, read_batch, read_history, read_inbox, write_batch, write_history,
+    write_inbox,
+)
 
 
 def stream_dedup(
@@ -57,29 +62,52 @@ def velocity_of_batch(
     Each row counts every transaction seen so far in its window, also one that came late. The
     work is the batch form over the batch and one window of history.
     """
-    times = batch.select(F.col("created_at").cast("timestamp_ntz").alias("t")).agg(
-        F.min("t").alias("low"), F.max("t").alias("high")).first()
+    at = F.col("created_at").cast("timestamp_ntz")
+    opens = at - F.expr(f"INTERVAL {minutes} MINUTE")
+    days = batch.select(
+        F.explode(F.sequence(F.to_date(opens), F.to_date(at))).alias("day")).distinct().collect()
     marked = batch.withColumn("_new", F.lit(True))
-    if times["low"] is not None:
-        first = (times["low"] - timedelta(minutes=minutes)).date()
-        past = read_history(
-            batch.sparkSession, history, first, times["high"].date(), batch_id)
-        if past is not None:
-            marked = marked.unionByName(past, allowMissingColumns=True)
+    past = read_history(batch.sparkSession, history, [row["day"] for row in days], batch_id)
+    if past is not None:
+        marked = marked.unionByName(past, allowMissingColumns=True)
     return velocity_trailing(marked, minutes).where("_new").drop("_new")
 
 
+def submission_key() -> Column:
+    """What makes two submissions the same: the idempotency key, else the transaction id."""
+    return F.coalesce(
+        F.concat(F.lit("key:"), F.col("idempotency_key").cast("string")),
+        F.concat(F.lit("id:"), F.col("transaction_id").cast("string")))
+
+
 def write_detections(
     batch: DataFrame, batch_id: int, path: str, profiles: DataFrame, rules: DataFrame,
     forest: Forest | None, cfg: DetectionConfig, group: str = GROUP_PROCESSOR,
 ) -> None:
     """Writes everything one micro-batch decides, each table under the batch number.
 
-    Decisions are written first and read back, so they are computed once; the other tables
-    follow from the written decisions.
+    A submission is decided unless its key is in the inbox, however late it comes; further ones
+    with its key are answered in `duplicates` with the transaction that was decided. A key is
+    the idempotency key or, without one, the transaction id. Profiles are those given plus the
+    alerts of earlier batches. Decisions are written first and read back, so they are computed
+    once; the other tables follow from the written decisions.
     """
-    counted = velocity_of_batch(batch, f"{path}/history", batch_id, cfg.velocity_minutes)
-    decisions = decide_enriched(with_risk_profile(counted, profiles), rules, forest, cfg)
+    spark = batch.sparkSession
+    ident, user = (batch.schema[name].dataType for name in ("transaction_id", "user_id"))
+    inbox, moved = f"{path}/inbox", f"{path}/profile_changes"
+    changes = StructType().add("user_id", user).add("new_alerts", "integer").add("batch_id", "long")
+    if batch_id == 0:
+        ensure_table(spark, inbox, inbox_schema(ident), "bucket", "batch_id")
+        ensure_table(spark, moved, changes, "batch_id")
+
+    keyed = batch.withColumn("submission_key", submission_key())
+    known = read_inbox(keyed, inbox, batch_id)
+    fresh = first_per_key(keyed, "submission_key", "created_at", "transaction_id").join(
+        known, "submission_key", "left_anti")
+    earlier = spark.read.schema(changes).parquet(moved).where(F.col("batch_id") < batch_id)
+    counted = velocity_of_batch(fresh, f"{path}/history", batch_id, cfg.velocity_minutes)
+    decisions = decide_enriched(
+        with_risk_profile(counted, add_alert_counts(profiles, earlier)), rules, forest, cfg)
     decisions = decisions.withColumn("status", F.lit("PROCESSED"))
     write_batch(decisions, f"{path}/decisions", batch_id)
     decided = read_batch(decisions, f"{path}/decisions", batch_id)
@@ -88,7 +116,13 @@ def write_detections(
     write_batch(alerts, f"{path}/alerts", batch_id)
     write_batch(alert_events(alerts), f"{path}/outbox_events", batch_id)
     write_batch(alerts.groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("int").alias("new_alerts")), f"{path}/profile_changes", batch_id)
+        F.count(F.lit(1)).cast("int").alias("new_alerts")), moved, batch_id)
+    answers = known.unionByName(decided.select("submission_key", "transaction_id"))
+    write_batch(
+        keyed.select("submission_key", F.col("transaction_id").alias("submission_id"))
+        .join(answers, "submission_key").where("submission_id <> transaction_id"),
+        f"{path}/duplicates", batch_id)
+    write_inbox(decided.where("submission_key IS NOT NULL"), inbox, batch_id)
     write_batch(decided.select(
         derived_id(F.lit("event"), "transaction_id").alias("event_id"),
         F.lit(group).alias("consumer_group"), F.col("created_at").alias("processed_at"),
@@ -99,12 +133,13 @@ def write_detections(
 def stream_detect(
     txns: DataFrame, load_profiles: Callable[[], DataFrame], load_rules: Callable[[], DataFrame],
     path: str, checkpoint: str, forest: Forest | None = None,
-    cfg: DetectionConfig = DetectionConfig(), watermark: str = "10 minutes",
+    cfg: DetectionConfig = DetectionConfig(),
 ) -> StreamingQuery:
-    """Deduplicates a stream of transactions and decides each of them.
+    """Decides every transaction of a stream once, in whatever order they come.
 
-    Rules and profiles are read anew in every micro-batch. A batch that is repeated after a
-    failure replaces what it wrote before.
+    There is no watermark: repeats are found in the stored inbox. Rules and profiles are read
+    anew in every micro-batch; `load_profiles` gives the profiles without the alerts of this
+    stream. A batch that is repeated after a failure replaces what it wrote before.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -115,9 +150,8 @@ def stream_detect(
         finally:
             batch.unpersist()
 
-    fresh = stream_dedup(txns, "idempotency_key", watermark=watermark)
     return (
-        fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        txns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 

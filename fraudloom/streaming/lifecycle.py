@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import NumericType
 
 from fraudloom.config import LifecycleConfig
 from fraudloom.functions.columns import micros
 from fraudloom.plans.slices import MINUTE_US
 from fraudloom.schemas import TERMINAL_STATUSES
 
-TRANSITIONS = "alert_id bigint, status string, at_us bigint, actor string"
 STATE = "created_us bigint, level int, closed boolean"
 LEVELS = ("ESCALATED_EMAIL", "ESCALATED_SLACK")
 
@@ -91,14 +91,16 @@ def _frames(out: list[tuple]) -> Iterator[pd.DataFrame]:
 
 
 def lifecycle_input(alerts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Alerts and actions in the one shape the state machine reads."""
+    """Alerts and actions in the one shape the state machine reads; ids keep their types."""
+    kind = actions.schema["action_id"].dataType
+    before_all = F.lit(-1 if isinstance(kind, NumericType) else "").cast(kind)
     return alerts.select(
         F.col("id").alias("alert_id"), F.lit("alert").alias("kind"),
-        F.col("created_at").cast("timestamp").alias("at"), F.lit(-1).cast("bigint").alias("seq"),
+        F.col("created_at").cast("timestamp").alias("at"), before_all.alias("seq"),
         F.lit(None).cast("string").alias("target_status"), F.lit(None).cast("string").alias("actor"),
     ).unionByName(actions.select(
         "alert_id", F.lit("action").alias("kind"), F.col("acted_at").cast("timestamp").alias("at"),
-        F.col("action_id").cast("bigint").alias("seq"), "target_status", "actor",
+        F.col("action_id").alias("seq"), "target_status", "actor",
     ))
 
 
@@ -108,8 +110,10 @@ def stream_lifecycle(
     """Status transitions of alerts: (alert_id, status, at, actor)."""
     delays = (cfg.email_minutes * MINUTE_US, (cfg.email_minutes + cfg.slack_minutes) * MINUTE_US)
     rows = events.withWatermark("at", watermark).withColumn("at_us", micros("at"))
+    kind = events.schema["alert_id"].dataType.simpleString()
+    transitions = f"alert_id {kind}, status string, at_us bigint, actor string"
     moved = rows.groupBy("alert_id").transformWithStateInPandas(
-        statefulProcessor=AlertLifecycle(delays), outputStructType=TRANSITIONS,
+        statefulProcessor=AlertLifecycle(delays), outputStructType=transitions,
         outputMode="Append", timeMode="EventTime",
     )
     return moved.select(

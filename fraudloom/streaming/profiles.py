@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fraudloom.functions.columns import micros
 from fraudloom.operators.profiles import _profile_events
 
-PROFILE = ("user_id bigint, total_alerts bigint, false_positive_count bigint,"
-           " score_units bigint, at_us bigint")
+PROFILE = "total_alerts bigint, false_positive_count bigint, score_units bigint, at_us bigint"
 QUARTER_UNITS = 2500
 FULL_UNITS = 10000
 
@@ -57,8 +56,9 @@ def stream_compensation(events: DataFrame, watermark: str = "10 minutes") -> Dat
     """
     fresh = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(
         ["event_id", "kind"])
+    kind = events.schema["user_id"].dataType.simpleString()
     states = fresh.withColumn("at_us", micros("ts")).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=ProfileState(), outputStructType=PROFILE, outputMode="Append",
+        statefulProcessor=ProfileState(), outputStructType=f"user_id {kind}, {PROFILE}", outputMode="Append",
         timeMode="None",
     )
     return states.select(

@@ -210,7 +210,7 @@ def test_batches_replace_themselves(spark):
     for _ in range(2):
         sinks.write_history(rows, path + "-h", 1)
     today = NOW.date()
-    assert sinks.read_history(spark, path + "-h", today, today, 2).count() == 5
-    assert sinks.read_history(spark, path + "-h", today, today, 1).count() == 0
+    assert sinks.read_history(spark, path + "-h", [today], 2).count() == 5
+    assert sinks.read_history(spark, path + "-h", [today], 1).count() == 0
     later = today + datetime.timedelta(days=9)
-    assert sinks.read_history(spark, path + "-h", later, later, 2) is None
+    assert sinks.read_history(spark, path + "-h", [later], 2) is None
