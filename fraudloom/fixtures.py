@@ -95,7 +95,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           concat('analyst_', CAST(a.id % 5 AS STRING)) AS actor,
           CASE WHEN a.id % 3 = 0 THEN a.created_at + INTERVAL 3 MINUTE
                WHEN a.id % 3 = 1 THEN a.created_at + INTERVAL 9 MINUTE
-               ELSE a.created_at + INTERVAL 40 MINUTE END AS acted_at
+               ELSE a.created_at + INTERVAL 40 MINUTE END AS acted_at,
+          CASE WHEN a.id % 2 = 0 THEN concat('seen by ', CAST(a.id % 5 AS STRING)) END AS resolution_reason
         FROM alerts_fx a CROSS JOIN (VALUES (0),(1)) AS n(n) WHERE a.id % 7 <> 0"""),
     "fp_fx": (("alerts_mix",), """
         SELECT id AS event_id, id AS alert_id, user_id, resolved_at

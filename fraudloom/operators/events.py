@@ -155,11 +155,13 @@ def resolution_events(outcomes: DataFrame) -> DataFrame:
     """Events of applied actions, plus a recalculation for every false positive."""
     applied = outcomes.where(F.col("outcome") == "applied")
     kind = F.concat(F.lit("alert."), F.lower("target_status"))
+    severity, reason = ([name for name in (wanted,) if name in outcomes.columns]
+                        for wanted in ("severity", "resolution_reason"))
     payload = F.to_json(F.struct(
         _text("alert_id"), _text("transaction_id"), _text("user_id"),
-        F.col("target_status").alias("status"), F.col("actor").alias("resolved_by"),
-        iso_time("acted_at").alias("resolved_at"),
-    ))
+        F.col("target_status").alias("status"), *severity, F.col("actor").alias("resolved_by"),
+        iso_time("acted_at").alias("resolved_at"), *reason,
+    ), {"ignoreNullFields": "false"})
     recalculation = F.to_json(F.struct(
         _text("user_id"), _text("alert_id"), _text("correlation_id"),
         F.lit("false_positive_resolution").alias("reason"),

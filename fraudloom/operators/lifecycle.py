@@ -14,13 +14,19 @@ def _minutes(count: int) -> Column:
 
 
 def first_valid_action(actions: DataFrame) -> DataFrame:
-    """The earliest action with an allowed target, per alert."""
+    """The earliest action with an allowed target, per alert; with its reason where there is one."""
     valid = actions.where(F.col("target_status").isin(*TERMINAL_STATUSES))
+    reason = [name for name in ("resolution_reason",) if name in actions.columns]
     return valid.groupBy("alert_id").agg(
-        F.min(F.struct("acted_at", "action_id", "target_status", "actor")).alias("winner")
+        F.min(F.struct("acted_at", "action_id", "target_status", "actor", *reason)).alias("winner")
     ).select("alert_id", "winner.*")
 
 
+def _optional(df: DataFrame, name: str) -> Column:
+    """A text column that not every table has."""
+    return (F.col(name) if name in df.columns else F.lit(None).cast("string")).alias(name)
+
+
 def actions_to_alerts(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """Every action with its outcome: applied, conflict, not_found or invalid_target."""
     winners = first_valid_action(actions).select(
@@ -28,7 +34,7 @@ def actions_to_alerts(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     )
     targets = alerts.select(
         "id", F.col("status").alias("alert_status"), "user_id", "transaction_id",
-        "correlation_id", F.lit(True).alias("_found"),
+        "correlation_id", _optional(alerts, "severity"), F.lit(True).alias("_found"),
     ).join(winners, "id", "left").withColumnRenamed("id", "alert_id")
     open_alert = F.col("alert_status").isin(*OPEN_STATUSES)
     outcome = (
@@ -39,15 +45,17 @@ def actions_to_alerts(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     )
     return actions.join(targets, "alert_id", "left").select(
         *actions.columns, "alert_status", "user_id", "transaction_id", "correlation_id",
-        outcome.alias("outcome"),
+        "severity", outcome.alias("outcome"),
     )
 
 
 def resolve_alerts(alerts: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applies one batch of analyst actions: changed alert table, outcome of every action."""
-    winners = first_valid_action(actions).select(
+    first = first_valid_action(actions)
+    winners = first.select(
         F.col("alert_id").alias("id"), F.col("target_status").alias("_target"),
         F.col("actor").alias("_actor"), F.col("acted_at").alias("_at"),
+        _optional(first, "resolution_reason").alias("_reason"),
     )
     applied = F.col("status").isin(*OPEN_STATUSES) & F.col("_target").isNotNull()
 
@@ -55,11 +63,11 @@ def resolve_alerts(alerts: DataFrame, actions: DataFrame) -> tuple[DataFrame, Da
         old = F.col(name) if name in alerts.columns else F.lit(None)
         return F.when(applied, F.col(value)).otherwise(old).alias(name)
 
-    fixed = [c for c in alerts.columns if c not in ("status", "resolved_by", "resolved_at")]
+    changed = {"status": "_target", "resolved_by": "_actor", "resolved_at": "_at",
+               "resolution_reason": "_reason"}
+    fixed = [c for c in alerts.columns if c not in changed]
     resolved = alerts.join(winners, "id", "left").select(
-        *fixed, change("status", "_target"), change("resolved_by", "_actor"),
-        change("resolved_at", "_at"),
-    )
+        *fixed, *[change(name, value) for name, value in changed.items()])
     return resolved, actions_to_alerts(alerts, actions)
 
 
@@ -173,7 +181,8 @@ def audit_rows(applied: DataFrame, escalations: DataFrame, real_from: bool = Fal
         F.concat(F.lit("alert."), F.lower("target_status")), F.col("actor"), F.col("alert_id"),
         F.to_json(F.struct(was.alias("status"))),
         F.to_json(F.struct(F.col("target_status").alias("status"),
-                           F.col("actor").alias("resolved_by"))),
+                           F.col("actor").alias("resolved_by"),
+                           _optional(applied, "resolution_reason")), {"ignoreNullFields": "false"}),
         F.col("acted_at"),
     )
     target = F.when(F.col("level") == "email", "ESCALATED_EMAIL").otherwise("ESCALATED_SLACK")

@@ -267,12 +267,10 @@ def alerts(t):
 
 
 @query("mark_processed", upto("""
-    SELECT transaction_id, CASE WHEN should_alert THEN 'PROCESSED' ELSE 'SUBMITTED' END AS status,
-      CASE WHEN should_alert THEN TIMESTAMP '2024-02-01 00:00:00' END AS processed_at FROM decided"""))
+    SELECT transaction_id, 'PROCESSED' AS status, TIMESTAMP '2024-02-01 00:00:00' AS processed_at FROM decided"""))
 def marked(t):
-    alerting = decisions(t).where("should_alert")
     return scoring.mark_processed(
-        t.txn, alerting, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+        t.txn, decisions(t), F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
     ).select("transaction_id", "status", "processed_at")
 
 

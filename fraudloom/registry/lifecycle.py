@@ -14,11 +14,11 @@ def at(text: str):
 
 
 WINNERS = """
-    SELECT alert_id, action_id, target_status, actor, acted_at FROM (
+    SELECT alert_id, action_id, target_status, actor, acted_at, resolution_reason FROM (
       SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY acted_at, action_id) AS rn
       FROM actions_fx WHERE target_status IN ('APPROVED', 'BLOCKED', 'FALSE_POSITIVE')) x WHERE rn = 1"""
 OUTCOMES = """
-    SELECT a.action_id, a.alert_id, a.target_status, a.actor, a.acted_at, m.status AS alert_status,
+    SELECT a.action_id, a.alert_id, a.target_status, a.actor, a.acted_at, a.resolution_reason, m.severity, m.status AS alert_status,
       CASE WHEN a.target_status = 'PENDING' THEN 'invalid_target' WHEN m.id IS NULL THEN 'not_found'
            WHEN m.status IN ('PENDING', 'ESCALATED_EMAIL', 'ESCALATED_SLACK') AND w.action_id = a.action_id THEN 'applied'
            ELSE 'conflict' END AS outcome
@@ -26,7 +26,7 @@ OUTCOMES = """
 
 
 @query("first_valid_action", sql("actions_fx", """
-    SELECT alert_id, action_id, target_status, actor, acted_at FROM winners""", winners=WINNERS))
+    SELECT alert_id, action_id, target_status, actor, acted_at, resolution_reason FROM winners""", winners=WINNERS))
 def winners(t):
     return lifecycle.first_valid_action(t.actions_fx)
 
@@ -41,12 +41,13 @@ def outcomes(t):
 @query("resolve_alerts", sql("actions_fx alerts_mix", """
     SELECT m.id, CASE WHEN o.alert_id IS NOT NULL THEN o.target_status ELSE m.status END AS status,
       CASE WHEN o.alert_id IS NOT NULL THEN o.actor ELSE m.resolved_by END AS resolved_by,
-      CASE WHEN o.alert_id IS NOT NULL THEN o.acted_at ELSE m.resolved_at END AS resolved_at
+      CASE WHEN o.alert_id IS NOT NULL THEN o.acted_at ELSE m.resolved_at END AS resolved_at,
+      CASE WHEN o.alert_id IS NOT NULL THEN o.resolution_reason ELSE m.resolution_reason END AS resolution_reason
     FROM alerts_mix m LEFT JOIN outcomes o ON o.alert_id = m.id AND o.outcome = 'applied'""",
     winners=WINNERS, outcomes=OUTCOMES))
 def resolved(t):
     return lifecycle.resolve_alerts(t.alerts_mix, t.actions_fx)[0].select(
-        "id", "status", "resolved_by", "resolved_at")
+        "id", "status", "resolved_by", "resolved_at", "resolution_reason")
 
 
 DUE = f"""
@@ -113,7 +114,8 @@ def replay_as_of(t):
 @query("audit_rows", sql("actions_fx alerts_mix", f"""
     SELECT actor, concat('alert.', lower(target_status)) AS action, 'Alert' AS entity_type, CAST(alert_id AS VARCHAR) AS entity_id,
       '{{"status":"UNRESOLVED"}}' AS before,
-      concat('{{"status":"', target_status, '","resolved_by":"', actor, '"}}') AS after, acted_at AS created_at
+      concat('{{"status":"', target_status, '","resolved_by":"', actor, '","resolution_reason":',
+        coalesce('"' || resolution_reason || '"', 'null'), '}}') AS after, acted_at AS created_at
     FROM outcomes WHERE outcome = 'applied'
     UNION ALL
     SELECT 'system:escalation_scheduler', concat('alert.escalated_', level), 'Alert', CAST(id AS VARCHAR),

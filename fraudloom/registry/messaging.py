@@ -81,13 +81,13 @@ def routed(t):
 
 @query("build_outbox_events", sql("actions_fx alerts_mix", f"""
     SELECT concat('alert.', lower(target_status)) AS event_type, CAST(o.alert_id AS VARCHAR) AS alert_id,
-      o.target_status AS status, m.correlation_id, 'gateway' AS producer_service, o.acted_at AS created_at
+      o.target_status AS status, o.severity, o.resolution_reason, m.correlation_id, 'gateway' AS producer_service, o.acted_at AS created_at
     FROM outcomes o JOIN alerts_mix m ON m.id = o.alert_id WHERE outcome = 'applied'
-    UNION ALL SELECT 'risk_profile.recalculate', CAST(o.alert_id AS VARCHAR), NULL, m.correlation_id, 'gateway', o.acted_at
+    UNION ALL SELECT 'risk_profile.recalculate', CAST(o.alert_id AS VARCHAR), NULL, NULL, NULL, m.correlation_id, 'gateway', o.acted_at
     FROM outcomes o JOIN alerts_mix m ON m.id = o.alert_id
     WHERE outcome = 'applied' AND target_status = 'FALSE_POSITIVE'
     UNION ALL SELECT concat('escalation.', level, '.requested'), CAST(d.id AS VARCHAR), concat('ESCALATED_', upper(level)),
-      m.correlation_id, 'processor', TIMESTAMP '{TICK}' FROM due d JOIN alerts_mix m ON m.id = d.id""",
+      m.severity, NULL, m.correlation_id, 'processor', TIMESTAMP '{TICK}' FROM due d JOIN alerts_mix m ON m.id = d.id""",
     winners=WINNERS, outcomes=OUTCOMES, due=DUE))
 def outbox_rows(t):
     outcomes = lifecycle.actions_to_alerts(t.alerts_mix, t.actions_fx)
@@ -95,8 +95,9 @@ def outbox_rows(t):
     rows = events.resolution_events(outcomes).unionByName(events.escalation_events(escalated))
     return rows.select(
         "event_type", F.get_json_object("payload", "$.alert_id").alias("alert_id"),
-        F.get_json_object("payload", "$.status").alias("status"), "correlation_id",
-        "producer_service", "created_at")
+        *[F.get_json_object("payload", f"$.{name}").alias(name)
+          for name in ("status", "severity", "resolution_reason")],
+        "correlation_id", "producer_service", "created_at")
 
 
 @query("transaction_outbox_events", sql("txn", """

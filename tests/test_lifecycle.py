@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraudloom.config import LifecycleConfig
-from fraudloom.operators import lifecycle, profiles
+from fraudloom.operators import events, lifecycle, profiles
 
 NOW = datetime.datetime(2024, 1, 1, 12)
 
@@ -78,6 +78,21 @@ def test_first_action_wins(spark):
         1: "APPROVED", 2: "BLOCKED", 3: "FALSE_POSITIVE"}
 
 
+def test_reason_of_the_winning_action_is_kept(spark):
+    table = alerts(spark, (1, "PENDING", 9, None), (2, "PENDING", 9, None))
+    log = actions(spark, (11, 1, "BLOCKED", 3), (12, 1, "APPROVED", 2), (21, 2, "APPROVED", 2))
+    log = log.withColumn("resolution_reason", F.when(F.col("alert_id") == 1, F.concat(
+        F.lit("by "), F.col("action_id").cast("string"))))
+    resolved, outcomes = lifecycle.resolve_alerts(table, log)
+    assert {r["id"]: r["resolution_reason"] for r in resolved.collect()} == {1: "by 11", 2: None}
+    none_made = lifecycle.escalation_tick(table, now())[1].where("false")
+    assert {r["entity_id"]: r["after"] for r in lifecycle.audit_rows(outcomes, none_made).collect()} == {
+        "1": '{"status":"BLOCKED","resolved_by":"ann","resolution_reason":"by 11"}',
+        "2": '{"status":"APPROVED","resolved_by":"ann","resolution_reason":null}'}
+    payload = events.resolution_events(outcomes).where("event_type = 'alert.blocked'").first()["payload"]
+    assert '"severity":"HIGH"' in payload and '"resolution_reason":"by 11"' in payload
+
+
 def test_audit_trail(spark):
     table = alerts(spark, (1, "ESCALATED_EMAIL", 9, 4), (2, "PENDING", 9, None))
     _, outcomes = lifecycle.resolve_alerts(table, actions(spark, (11, 1, "BLOCKED", 2)))
