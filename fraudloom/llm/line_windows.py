@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from fraudloom.llm.common import SPACES
 
@@ -35,6 +36,32 @@ def _windows(found: Column, min_chars: int) -> Column:
         F.sequence(F.lit(0), F.size(found) - WIDTH), window))
 
 
+def _chains(found: Column, min_chars: int) -> Column:
+    """Hash, first line and number of lines of longer windows where three lines are below `min_chars`:
+    from each line on, and back from each line, the fewest lines that reach it."""
+    @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+    def spans(sizes: pd.Series) -> pd.Series:
+        return pd.Series([_spans(x, min_chars) for x in sizes], dtype=object)
+
+    return F.transform(spans(F.transform(found, F.length)), lambda x: F.struct(
+        F.xxhash64(F.slice(found, x[0] + 1, x[1])).alias("__window"), x[0].alias("__at"),
+        x[1].alias("__width")))
+
+
+def _spans(sizes: np.ndarray | None, min_chars: int) -> list[list[int]]:
+    """First line and number of lines of the windows of `_chains`."""
+    n = 0 if sizes is None else len(sizes)
+    if n <= WIDTH:
+        return []
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    short = np.flatnonzero(total[WIDTH:] - total[:-WIDTH] < min_chars)
+    ends = np.searchsorted(total, total[short] + min_chars, side="left")
+    begins = np.searchsorted(total, total[short + WIDTH] - min_chars, side="right") - 1
+    found = {(a, e - a) for a, e in zip(short.tolist(), ends.tolist()) if e <= n}
+    found |= {(a, e - a) for a, e in zip(begins.tolist(), (short + WIDTH).tolist()) if a >= 0}
+    return [list(x) for x in sorted(found)]
+
+
 @F.pandas_udf(StringType())
 def without_lines(texts: pd.Series, starts: pd.Series) -> pd.Series:
     """Each text without the lines that the windows at `starts` cover; None where there are none."""
@@ -57,7 +84,8 @@ def without_lines(texts: pd.Series, starts: pd.Series) -> pd.Series:
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                          min_chars: int = MIN_CHARS, removed_col: str | None = None) -> DataFrame:
+                          min_chars: int = MIN_CHARS, removed_col: str | None = None,
+                          chains: bool = False) -> DataFrame:
     """`docs` with repeated passages taken out of the text, and all other columns as they are.
 
     A window is three consecutive non-blank lines of at least `min_chars` characters together,
@@ -65,7 +93,9 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text and position, stays; every later one covers its lines, and covered lines are removed as a
     union. Texts of fewer than three lines, NULL and empty ones are left as they are; a text can
     become empty. Rows equal in id and text count as one document, so neither loses lines to the
-    other. `removed_col` adds the number of lines removed.
+    other. `removed_col` adds the number of lines removed. With `chains`, more than three short lines
+    that reach `min_chars` together are windows too, so any repeated passage of three or more whole
+    lines with that many characters is removed.
 
     One shuffle of hashes with counts, combined before it, tells which windows repeat; a second one
     meets them with their occurrences. Hashes have 64 bits: of n windows about n / 2**64 of them
@@ -75,11 +105,16 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                       lines(F.col(text_col)).alias("__lines"))
     windows = row.select("__id", "__key", F.posexplode(_windows(F.col("__lines"), min_chars))
                          .alias("__at", "__window")).filter(F.col("__window").isNotNull())
+    if chains:
+        longer = row.select("__id", "__key", F.inline(_chains(F.col("__lines"), min_chars)))
+        windows = windows.withColumn("__width", F.lit(WIDTH)).unionByName(longer)
     repeated = windows.groupBy("__window").agg(
         F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__key", "__at")).alias("__first")
     ).filter(F.col("__n") > 1).drop("__n")
     later = windows.join(repeated, "__window").filter(
         F.struct("__id", "__key", "__at") > F.col("__first"))
+    later = later.select("__id", "__key", F.explode(F.sequence(
+        "__at", F.col("__at") + F.col("__width") - WIDTH)).alias("__at")) if chains else later
     covered = later.groupBy(F.col("__id").alias("__doc"), F.col("__key").alias("__doc_key")).agg(
         F.sort_array(F.collect_set("__at")).alias("__starts"))
     joined = docs.withColumn("__own", F.xxhash64(id_col, text_col)).join(
