@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from fraudloom.llm import (
-    boosted_rules, knn_quality, language_codes, line_windows, packing, reply_trees, simhash,
-    spaced_seeds, token_index, toxicity,
+    boosted_rules, knn_quality, language_codes, license_diagonals, line_windows, merkle_manifest,
+    packing, prefix_trie, reply_trees, simhash, spaced_seeds, token_index, toxicity,
 )
-from fraudloom.llm.common import id_hash_mod, read
+from fraudloom.llm.common import id_hash_mod, read, written
 from fraudloom.session import shared_dir
 
 PACK_TOKENIZER, PACK_END, CAPACITY = "word_bpe_49k.json", 1, 2048
@@ -109,7 +109,48 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select(*columns).unionAll(stored.filter(F.col("key").isNull()).select(*columns))
 
 
+def rebuilt_conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(conv, pos, key, chars) and (conv): conversations that begin with the first h turns of the
+    conversation their hundred starts with, h = crc32(id) % 6, and go on with their own after h."""
+    turns = written(prefix_trie.numbered_turns(read(spark, sf_dir, "conversations")), "op11-turns")
+    own_start = id_hash_mod("conv", 6)
+    convs = turns.filter(F.col("pos") == 0).select(
+        "conv", (F.col("conv") - F.col("conv") % 100).alias("base"), own_start.alias("h"))
+    heads = turns.filter(F.col("pos") < 5).select(
+        F.col("conv").alias("base"), "pos", "key", "chars")
+    taken = convs.join(heads, "base").filter(F.col("pos") < F.col("h")).select(
+        "conv", "pos", "key", "chars")
+    bases = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    starts = convs.join(bases, "base", "left").select("conv", "h", F.least("h", F.coalesce(
+        "n", F.lit(0))).alias("given"))
+    rest = turns.withColumn("h", own_start).filter(F.col("pos") >= F.col("h")).drop("h").join(
+        starts, "conv").select("conv", (F.col("pos") - F.col("h") + F.col("given")).alias("pos"),
+                               "key", "chars")
+    return written(taken.unionByName(rest), "op11-rebuilt"), convs.select("conv")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(*rebuilt_conversations(spark, sf_dir))
+    return trie.select(
+        F.col("owner").alias("conv_id"), "depth", F.col("parent_owner").alias("parent_conv_id"),
+        "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proves itself against the root; altered ones must fail."""
+    made = merkle_manifest.documents_manifest(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle_manifest.sha(merkle_manifest.siblings(F.col("proof"))).alias("proof_sha256"),
+        merkle_manifest.fold(F.col("tampered"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_diagonals.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_harmonic_packing, op2_toxicity_cnn, op3_neighbour_quality, op4_spaced_seeds,
     op5_boosted_rules, op6_language_codes, op7_simhash_variants, op8_reply_trees, op9_line_windows,
-    op10_token_index)}
+    op10_token_index, op11_prefix_trie, op12_merkle_manifest, op13_license_diagonals)}
