@@ -7,6 +7,7 @@ same past go on with different blocks.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -110,14 +111,12 @@ def _ends_digest(ends: DataFrame) -> DataFrame:
 
     def pieces(frames):
         for frame in frames:
-            run = (frame["owner"].ne(frame["owner"].shift()) | frame["depth"].ne(
-                frame["depth"].shift())).cumsum()
-            for _, part in frame.groupby(run.to_numpy(), sort=False):
-                for at in range(0, len(part), IDS_OF_A_PIECE):
-                    piece = part.iloc[at:at + IDS_OF_A_PIECE]
-                    yield pd.DataFrame({
-                        "owner": piece["owner"].iloc[:1], "depth": piece["depth"].iloc[:1],
-                        "first": piece["conv"].iloc[:1], "ids": [",".join(map(str, piece["conv"]))]})
+            ids = frame["conv"].to_numpy()
+            own = frame[NODE].to_numpy()
+            new = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+            cuts = np.union1d(np.concatenate([[0], new]), np.arange(0, len(ids), IDS_OF_A_PIECE))
+            texts = [",".join(map(str, ids[a:b].tolist())) for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+            yield frame[NODE].iloc[cuts].assign(first=ids[cuts], ids=texts)
 
     def digests(frames):
         node, state = None, None
