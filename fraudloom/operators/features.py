@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fraudloom.functions.columns import (
@@ -89,6 +91,66 @@ def velocity_trailing(
     )
 
 
+def velocity_horizons(
+    txns: DataFrame, horizons: list[int], user: str = "user_id", ts: str = "created_at",
+    amount: str = "amount",
+) -> DataFrame:
+    """Adds `txn_count_<m>` and `total_amount_<m>` for trailing windows of several lengths at once.
+
+    All lengths share one grid of slices, whose width divides each of them. A row goes to its slice
+    once; per length, a slim copy follows to the slice in which the row leaves that window, and one
+    entry per slice brings in what the window held before. One sort of a (user, slice) and one
+    running sum per length then give all results. Values and missing keys are as in
+    `velocity_trailing`.
+    """
+    horizons = sorted(set(horizons))
+    grid = math.gcd(*horizons)
+    width = grid * MINUTE_US // slices_per_window(grid)
+    base = txns.select(
+        user, F.struct(*txns.columns).alias("_row"), F.col(amount).alias("_amount"),
+        micros(ts).alias("_us"), slice_no(ts, width).alias("_slice"),
+    )
+
+    def entry(at: Column, position: Column, horizon: int, sign: int, row: Column) -> Column:
+        change = F.col("_amount") if sign > 0 else -F.col("_amount")
+        return F.struct(at.alias("_slice"), position.alias("_at"), F.lit(horizon).alias("_for"),
+                        F.lit(sign).cast("bigint").alias("_n"), change.alias("_a"), row.alias("_row"))
+
+    entries = [entry(F.col("_slice"), F.col("_us") * 2, 0, 1, F.col("_row"))] + [
+        entry(F.col("_slice") + m * MINUTE_US // width, (F.col("_us") + m * MINUTE_US) * 2 + 1, m, -1,
+              F.lit(None)) for m in horizons]
+    per_slice = base.groupBy(user, "_slice").agg(
+        F.count(F.lit(1)).alias("_count"), F.sum("_amount").alias("_sum"))
+    held = {m: Window.partitionBy(user).orderBy("_slice").rangeBetween(-(m * MINUTE_US // width), -1)
+            for m in horizons}
+    opening = _openings(per_slice, user, held, width)
+    moves = base.select(user, F.inline(F.array(*entries))).unionByName(opening)
+    so_far = (
+        Window.partitionBy(user, "_slice").orderBy("_at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+    def running(name: str, m: int) -> Column:
+        return F.sum(F.when(F.col("_for").isin(0, m), F.col(name))).over(so_far)
+
+    return moves.select(
+        "_row", *[running("_n", m).alias(f"_n_{m}") for m in horizons],
+        *[running("_a", m).alias(f"_a_{m}") for m in horizons],
+    ).where("_row IS NOT NULL").select("_row.*", *[column for m in horizons for column in (
+        F.col(f"_n_{m}").cast("bigint").alias(f"txn_count_{m}"),
+        F.coalesce(f"_a_{m}", F.lit(0)).cast("decimal(24,2)").alias(f"total_amount_{m}"))])
+
+
+def _openings(per_slice: DataFrame, user: str, held: dict, width: int) -> DataFrame:
+    """Per slice and window length, what the window holds where the slice begins."""
+    totals = per_slice.select(user, "_slice", *[column for m, window in held.items() for column in (
+        F.sum("_count").over(window).alias(f"_n_{m}"), F.sum("_sum").over(window).alias(f"_a_{m}"))])
+    return totals.select(user, F.inline(F.array(*[F.struct(
+        F.col("_slice"), (F.col("_slice") * (2 * width) - 1).alias("_at"), F.lit(m).alias("_for"),
+        F.col(f"_n_{m}").alias("_n"), F.col(f"_a_{m}").alias("_a"), F.lit(None).alias("_row"),
+    ) for m in held])))
+
+
 def with_risk_profile(txns: DataFrame, profiles: DataFrame, user: str = "user_id") -> DataFrame:
     """Adds the user's profile; users without one get a zero profile."""
     profile = profiles.select(

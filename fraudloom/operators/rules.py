@@ -1,8 +1,9 @@
 """Data-driven fraud rules as column expressions.
 
 The rules table is read once per plan. Up to `COMPILE_LIMIT` enabled rules become one generated
-array expression, so matching needs neither a join nor a shuffle. A larger set is attached as a
-scalar subquery and evaluated by a higher-order filter, again without multiplying rows.
+array expression, so matching needs neither a join nor a shuffle. A larger set becomes a constant
+predicate index: a row bisects sorted limits and looks up its country and category, and only builds
+the matches found. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from fraudloom.functions.columns import fixed_text
+from fraudloom.operators.features import velocity_horizons, with_risk_profile
+from fraudloom.operators.rule_index import build_index, constant, met_places
 from fraudloom.schemas import RULE_TYPES, SEVERITIES
 
 COMPILE_LIMIT = 128
 RULE_COLUMNS = [
     "id", "name", "rule_type", "severity", "parameters", "rule_order", "threshold", "currency",
     "strict", "countries", "categories", "max_count", "max_amount", "min_score", "window_text",
+    "window",
 ]
 PARAMETER_TYPES = {
     "threshold": "decimal(28,8)", "max_amount": "decimal(28,8)", "min_score": "decimal(28,8)",
-    "max_count": "bigint", "strict": "boolean", "countries": "array<string>",
+    "max_count": "bigint", "window": "int", "strict": "boolean", "countries": "array<string>",
     "categories": "array<string>",
 }
 
@@ -126,8 +130,16 @@ def load_active_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 class _Rule:
     """Column access to one rule: literals of a collected row, or fields of a struct column."""
 
-    def __init__(self, source: Row | Column):
-        self._source = source
+    def __init__(self, source: Row | Column, windows: tuple[int, ...] = ()):
+        self._source, self._windows = source, windows
+
+    def velocity(self, name: str) -> Column:
+        """`name` over the pipeline's window, or over the rule's own where there are several."""
+        if not self._windows:
+            return F.col(name)
+        if isinstance(self._source, Row):
+            return F.col(f"{name}_{self._source['window']}")
+        return F.coalesce(*[F.when(self["window"] == m, F.col(f"{name}_{m}")) for m in self._windows])
 
     def __getitem__(self, name: str) -> Column:
         if isinstance(self._source, Column):
@@ -156,11 +168,11 @@ def category_condition(rule: _Rule) -> Column:
 
 
 def count_condition(rule: _Rule) -> Column:
-    return F.col("txn_count") >= rule["max_count"]
+    return rule.velocity("txn_count") >= rule["max_count"]
 
 
 def total_condition(rule: _Rule) -> Column:
-    return F.col("total_amount") >= rule["max_amount"]
+    return rule.velocity("total_amount") >= rule["max_amount"]
 
 
 def velocity_condition(rule: _Rule) -> Column:
@@ -201,11 +213,11 @@ def explain_country(rule: _Rule) -> Column:
 
 def explain_velocity(rule: _Rule, window_minutes: int = 10) -> Column:
     count = F.when(count_condition(rule), F.concat(
-        F.lit("count "), F.col("txn_count").cast("string"), F.lit(" >= limit "),
+        F.lit("count "), rule.velocity("txn_count").cast("string"), F.lit(" >= limit "),
         rule["max_count"].cast("string"),
     ))
     total = F.when(total_condition(rule), F.concat(
-        F.lit("total amount "), fixed_text("total_amount", 2), F.lit(" >= limit "),
+        F.lit("total amount "), fixed_text(rule.velocity("total_amount"), 2), F.lit(" >= limit "),
         fixed_text(rule["max_amount"], 2),
     ))
     return F.concat(
@@ -253,10 +265,10 @@ def _explanation(kind: str, rule: _Rule, window_minutes: int) -> Column:
     return EXPLANATIONS[kind](rule)
 
 
-def _compiled(rows: list[Row], window_minutes: int) -> Column:
+def _compiled(rows: list[Row], window_minutes: int, windows: tuple[int, ...]) -> Column:
     parts = []
     for row in rows:
-        rule = _Rule(row)
+        rule = _Rule(row, windows)
         parts.append(F.when(
             CONDITIONS[row["rule_type"]](rule),
             _match(rule, _explanation(row["rule_type"], rule, window_minutes)),
@@ -264,46 +276,61 @@ def _compiled(rows: list[Row], window_minutes: int) -> Column:
     return F.array_compact(F.array(*parts))
 
 
-def _interpreted(rules: Column, window_minutes: int) -> Column:
-    """Matches of an array of rule structs, for rule sets too large to generate code for."""
+def _indexed(index: Column, window_minutes: int, windows: tuple[int, ...]) -> Column:
+    """Matches through the predicate index, for rule sets too large to generate code for."""
 
-    def result(item: Column) -> Column:
-        rule = _Rule(item)
-        hit, text = None, None
-        for kind, condition in CONDITIONS.items():
-            is_kind = item["rule_type"] == kind
-            explained = _explanation(kind, rule, window_minutes)
-            hit = F.when(is_kind, condition(rule)) if hit is None else hit.when(
-                is_kind, condition(rule))
-            text = F.when(is_kind, explained) if text is None else text.when(is_kind, explained)
-        return F.when(hit, _match(rule, text))
+    def match(item: Column) -> Column:
+        rule, text = _Rule(item, windows), F
+        for kind in CONDITIONS:
+            text = text.when(item["rule_type"] == kind, _explanation(kind, rule, window_minutes))
+        return _match(rule, text)
 
-    return F.filter(F.transform(rules, result), lambda m: m.isNotNull())
+    items = F.transform(met_places(index, windows), lambda place: F.get(index["rules"], place))
+    return F.transform(items, match)
 
 
 def evaluate_rules(
     enriched: DataFrame, rules: DataFrame, window_minutes: int = 10,
     compile_limit: int = COMPILE_LIMIT, column: str = "rule_matches",
+    windows: tuple[int, ...] = (),
 ) -> DataFrame:
     """Adds the array of matches of all enabled, valid rules in rule order.
 
     `enriched` needs the columns of `velocity_trailing` and `with_risk_profile`. Rules are
-    ordered by `rule_order` where given, else by creation time and id.
+    ordered by `rule_order` where given, else by creation time and id. With `windows`, each velocity
+    rule is tested over its own window, see `evaluate_rules_per_window`.
     """
     active, _ = load_active_rules(_ordered(rules))
     order = ["rule_order", "id"]
-    active = active.select(*RULE_COLUMNS)
+    active = active.withColumn("window", rule_window(window_minutes)).select(*RULE_COLUMNS)
     rows = active.orderBy(*order).limit(compile_limit + 1).collect()
     if 0 < len(rows) <= compile_limit:
-        return enriched.withColumn(column, _compiled(rows, window_minutes))
-    ordered = active.select(F.sort_array(F.collect_list(F.struct(
-        *order, *[c for c in RULE_COLUMNS if c not in order]
-    ))).alias("rules"))
-    return (
-        enriched.withColumn("_rules", ordered.scalar())
-        .withColumn(column, _interpreted(F.col("_rules"), window_minutes))
-        .drop("_rules")
-    )
+        return enriched.withColumn(column, _compiled(rows, window_minutes, windows))
+    index = constant(build_index(active, order, RULE_COLUMNS, bool(windows)))
+    return enriched.withColumn(column, _indexed(index, window_minutes, windows))
+
+
+def rule_window(default: int) -> Column:
+    """Minutes of a rule's own window; the pipeline's where it names none or no whole number above 0."""
+    own = F.col("window_text").try_cast("int")
+    return F.when(own > 0, own).otherwise(F.lit(default)).cast("int")
+
+
+def evaluate_rules_per_window(
+    txns: DataFrame, profiles: DataFrame, rules: DataFrame, window_minutes: int = 10,
+    compile_limit: int = COMPILE_LIMIT, column: str = "rule_matches",
+) -> DataFrame:
+    """Matches where every velocity rule counts over its own `window_minutes`.
+
+    The distinct lengths of the active rules, read once from the rules table, are all counted in one
+    pass over the transactions.
+    """
+    active, _ = load_active_rules(_ordered(rules))
+    found = active.where("rule_type = 'VELOCITY'").select(
+        rule_window(window_minutes).alias("window")).distinct().collect()
+    windows = tuple(sorted({window_minutes, *(row["window"] for row in found)}))
+    enriched = with_risk_profile(velocity_horizons(txns, list(windows)), profiles)
+    return evaluate_rules(enriched, rules, window_minutes, compile_limit, column, windows)
 
 
 def _ordered(rules: DataFrame) -> DataFrame:

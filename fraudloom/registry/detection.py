@@ -7,6 +7,7 @@ from fraudloom.fixtures import seeded_rules
 from fraudloom.operators import features, profiles, rules, scoring
 from fraudloom.plans.detection import decide_enriched, detect, enrich
 from fraudloom.registry.core import query, sql
+from fraudloom.registry.ingest import RULE_CHECK, RULE_TYPED, VALID_RULE
 
 MINUTES = 1440
 CFG = DetectionConfig(velocity_minutes=MINUTES)
@@ -86,6 +87,93 @@ def rule_number():
     return F.substring("rule_id", -1, 1).cast("int")
 
 
+MANY_RULES = """
+    SELECT t.id, t.rule_type, threshold, currency, strict, string_split(countries, ',') AS countries,
+      string_split(categories, ',') AS categories, max_count, max_amount, min_score,
+      row_number() OVER (ORDER BY r.created_at, t.id) AS place
+    FROM typed t JOIN rules_tab r ON r.id = t.id WHERE t.enabled AND t.""" + VALID_RULE.replace(
+    "AND severity", "AND t.severity")
+MANY_HITS = """
+    SELECT e.transaction_id, r.id, r.place FROM enriched e JOIN many r ON
+      (r.threshold IS NOT NULL AND (r.currency IS NULL OR upper(e.currency) = r.currency)
+       AND CASE WHEN r.strict THEN e.amount > r.threshold ELSE e.amount >= r.threshold END)
+      OR list_contains(r.countries, upper(trim(e.country)))
+      OR list_contains(r.categories, lower(trim(e.merchant_category)))
+      OR e.txn_count >= r.max_count OR e.total_amount >= r.max_amount OR e.risk_score >= r.min_score"""
+MANY_STEPS = {"vel": VELOCITY, "enriched": ENRICHED, "parsed": RULE_CHECK, "typed": RULE_TYPED,
+              "many": MANY_RULES, "hits": MANY_HITS}
+
+
+def _ids_digest(matches):
+    return F.sha2(F.array_join(F.transform(matches, lambda m: m["rule_id"]), ",").cast("binary"), 256)
+
+
+@query("evaluate_rules_many", sql("txn risk_profiles_fx rules_tab", """
+    SELECT e.transaction_id, count(h.id) AS n_matches,
+      sha256(coalesce(string_agg(h.id, ',' ORDER BY h.place), '')) AS matched_sha256
+    FROM enriched e LEFT JOIN hits h ON h.transaction_id = e.transaction_id GROUP BY e.transaction_id""",
+    **MANY_STEPS))
+def many_rules(t):
+    """All active rules of the rules table, through the predicate index."""
+    matched = rules.evaluate_rules(enriched(t), t.rules_tab)
+    return matched.select(
+        "transaction_id", F.size("rule_matches").cast("long").alias("n_matches"),
+        _ids_digest(F.col("rule_matches")).alias("matched_sha256"))
+
+
+@query("rules_most_matched", sql("txn risk_profiles_fx rules_tab", """
+    SELECT r.id, r.rule_type, count(h.id) AS transactions
+    FROM many r LEFT JOIN hits h ON h.id = r.id GROUP BY ALL""", **MANY_STEPS))
+def rule_counts(t):
+    """How often each active rule matches; rules that never match count zero."""
+    active = rules.load_active_rules(t.rules_tab)[0].select("id", "rule_type")
+    hits = rules.evaluate_rules(enriched(t), t.rules_tab).select(
+        F.explode(F.transform("rule_matches", lambda m: m["rule_id"])).alias("id")).groupBy("id").agg(
+        F.count(F.lit(1)).alias("transactions"))
+    return active.join(hits, "id", "left").select(
+        "id", "rule_type", F.coalesce("transactions", F.lit(0).cast("long")).alias("transactions"))
+
+
+OWN_WINDOW_HITS = """
+    SELECT e.transaction_id, r.id, r.place FROM own_windows e JOIN many r ON
+      (r.threshold IS NOT NULL AND (r.currency IS NULL OR upper(e.currency) = r.currency)
+       AND CASE WHEN r.strict THEN e.amount > r.threshold ELSE e.amount >= r.threshold END)
+      OR list_contains(r.countries, upper(trim(e.country)))
+      OR list_contains(r.categories, lower(trim(e.merchant_category)))
+      OR CASE WHEN r.win = '15' THEN n15 ELSE n1440 END >= r.max_count
+      OR CASE WHEN r.win = '15' THEN a15 ELSE a1440 END >= r.max_amount OR e.risk_score >= r.min_score"""
+
+
+@query("evaluate_rules_per_window", sql("txn risk_profiles_fx rules_tab", """
+    SELECT e.transaction_id, count(h.id) AS n_matches,
+      sha256(coalesce(string_agg(h.id, ',' ORDER BY h.place), '')) AS matched_sha256
+    FROM own_windows e LEFT JOIN hits h ON h.transaction_id = e.transaction_id GROUP BY e.transaction_id""",
+    parsed=RULE_CHECK, typed=RULE_TYPED, many=MANY_RULES.replace("min_score,", "min_score, window_text AS win,"),
+    own_windows="""
+    SELECT t.*, count(*) OVER long AS n1440, sum(amount) OVER long AS a1440, count(*) OVER short AS n15,
+      sum(amount) OVER short AS a15, coalesce(p.risk_score, 0) AS risk_score
+    FROM txn t LEFT JOIN risk_profiles_fx p ON p.user_id = t.user_id
+    WINDOW long AS (PARTITION BY t.user_id ORDER BY t.created_at RANGE BETWEEN INTERVAL 1440 MINUTES PRECEDING AND CURRENT ROW),
+      short AS (PARTITION BY t.user_id ORDER BY t.created_at RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW)""",
+    hits=OWN_WINDOW_HITS))
+def rules_of_own_windows(t):
+    """Velocity rules that name a window count over it, all others over a day."""
+    matched = rules.evaluate_rules_per_window(t.txn, t.risk_profiles_fx, t.rules_tab, MINUTES)
+    return matched.select(
+        "transaction_id", F.size("rule_matches").cast("long").alias("n_matches"),
+        _ids_digest(F.col("rule_matches")).alias("matched_sha256"))
+
+
+@query("velocity_per_rule_window", sql("txn", "SELECT transaction_id, " + ", ".join(f"""
+      count(*) OVER w{m} AS txn_count_{m}, CAST(sum(amount) OVER w{m} AS DECIMAL(24,2)) AS total_amount_{m}"""
+    for m in (10, 60, 1440)) + " FROM txn WINDOW " + ", ".join(f"""
+      w{m} AS (PARTITION BY user_id ORDER BY created_at RANGE BETWEEN INTERVAL {m} MINUTES PRECEDING AND CURRENT ROW)"""
+    for m in (10, 60, 1440))))
+def velocity_of_several_windows(t):
+    return features.velocity_horizons(t.txn, [10, 60, 1440]).select(
+        "transaction_id", *[f"{name}_{m}" for m in (10, 60, 1440) for name in ("txn_count", "total_amount")])
+
+
 # ------------------------------------------------------------------------ velocity, profiles
 
 
