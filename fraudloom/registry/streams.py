@@ -20,12 +20,13 @@ from fraudloom.registry.messaging import DECODED, ENVELOPE, FAILED
 from fraudloom.session import prepare, shared_dir
 from fraudloom.sources.streams import event_stream_from_start, file_stream, transaction_stream
 from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
+from fraudloom.streaming.dedup import stream_dedup
 from fraudloom.streaming.flows import (
-    stream_dedup, stream_detect, stream_notifications, stream_relay, stream_retry_status,
-    stream_volume_5m, write_files,
+    stream_detect, stream_notifications, stream_relay, stream_retry_status, write_files,
 )
 from fraudloom.streaming.profiles import profile_input, stream_compensation
 from fraudloom.streaming.velocity import stream_velocity
+from fraudloom.streaming.volume import current_volume, stream_volume_5m
 
 PARTS = 2
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -143,22 +144,66 @@ def deduplicated(t):
 def counted(t):
     source = timed(t.txn.select("transaction_id", "user_id", "amount", "created_at"), "created_at")
     out, check = shared_dir(t.spark, "velocity"), shared_dir(t.spark, "velocity_check")
-    run_in_parts(t, source, "created_at", results(
-        t, lambda path: stream_velocity(file_stream(t.spark, path, source.schema), 1440),
-        out, check))
-    return t.spark.read.parquet(out).select("transaction_id", "txn_count", "total_amount")
+    run_in_parts(t, source, "created_at", lambda path: stream_velocity(
+        file_stream(t.spark, path, source.schema), out, check, 1440).awaitTermination())
+    return t.spark.read.parquet(f"{out}/velocity").select("transaction_id", "txn_count", "total_amount")
+
+
+def out_of_order(t) -> tuple[DataFrame, list[DataFrame]]:
+    """Transactions by `row_no`, a seventh without id, and two batches of them: in the second most
+    rows are late, up to the whole time span, and some of the first come again."""
+    source = timed(t.txn.select(F.col("transaction_id").alias("row_no"), F.when(
+        F.col("transaction_id") % 7 != 0, F.col("transaction_id")).alias("transaction_id"),
+        "user_id", "amount", "created_at"), "created_at")
+    first = source.where("row_no % 2 = 0")
+    again = first.where("row_no % 10 = 0 AND transaction_id IS NOT NULL")
+    return source, [first, source.where("row_no % 2 = 1").unionByName(again)]
+
+
+@query("stream_dedup_disorder", sql("txn", "SELECT transaction_id AS row_no, user_id, amount FROM txn"))
+def deduplicated_disorder(t):
+    source, pieces = out_of_order(t)
+    out, check = shared_dir(t.spark, "dedup"), shared_dir(t.spark, "dedup_check")
+    run_pieces(t, pieces, results(t, lambda path: stream_dedup(
+        file_stream(t.spark, path, source.schema), "transaction_id"), out, check))
+    return t.spark.read.parquet(out).select("row_no", "user_id", "amount")
+
+
+DAY_WINDOW = """count(*) OVER w AS txn_count, CAST(sum(amount) OVER w AS DECIMAL(24,2)) AS total_amount"""
+DAY_FRAME = """WINDOW w AS (PARTITION BY user_id ORDER BY created_at
+                 RANGE BETWEEN INTERVAL 1440 MINUTES PRECEDING AND CURRENT ROW)"""
+
+
+@query("stream_velocity_disorder", sql("txn", f"""
+    SELECT transaction_id AS row_no, {DAY_WINDOW} FROM txn WHERE transaction_id % 2 = 0 {DAY_FRAME}
+    UNION ALL SELECT row_no, txn_count, total_amount FROM (
+      SELECT transaction_id AS row_no, {DAY_WINDOW} FROM txn {DAY_FRAME}) WHERE row_no % 2 = 1"""))
+def counted_disorder(t):
+    """Rows of the second batch count all before them, those of the first what had come by then."""
+    source, pieces = out_of_order(t)
+    out, check = shared_dir(t.spark, "velocity"), shared_dir(t.spark, "velocity_check")
+    run_pieces(t, pieces, lambda path: stream_velocity(
+        file_stream(t.spark, path, source.schema), out, check, 1440).awaitTermination())
+    return t.spark.read.parquet(f"{out}/velocity").select("row_no", "txn_count", "total_amount")
+
+
+def _volume(t, source, feed) -> DataFrame:
+    out, check = shared_dir(t.spark, "volume_s"), shared_dir(t.spark, "volume_check")
+    feed(lambda path: stream_volume_5m(
+        file_stream(t.spark, path, source.schema), out, check).awaitTermination())
+    return current_volume(t.spark, out).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query("stream_volume_5m", sql("txn", f"{VOLUME} FROM txn GROUP BY 1"))
 def volume(t):
     source = timed(t.txn.select("transaction_id", "user_id", "amount", "created_at"), "created_at")
-    out, check = shared_dir(t.spark, "volume_s"), shared_dir(t.spark, "volume_check")
-    run_in_parts(
-        t, source, "created_at", results(
-            t, lambda path: stream_volume_5m(file_stream(t.spark, path, source.schema)),
-            out, check),
-        closing=ahead(source, "created_at"))
-    return t.spark.read.parquet(out).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return _volume(t, source, lambda run: run_in_parts(t, source, "created_at", run))
+
+
+@query("stream_volume_disorder", sql("txn", f"{VOLUME} FROM txn GROUP BY 1"))
+def volume_disorder(t):
+    source, pieces = out_of_order(t)
+    return _volume(t, source, lambda run: run_pieces(t, pieces, run))
 
 
 PROFILED = """
@@ -257,24 +302,38 @@ RUN = """
     FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind, event_id ROWS UNBOUNDED PRECEDING)"""
 
 
-@query("stream_compensation", sql("alerts_fx fp_fx", """
+COMPENSATED = sql("alerts_fx fp_fx", """
     SELECT user_id, max(total_alerts) AS total_alerts, max(false_positive_count) AS false_positive_count,
       CAST(coalesce(max_by(CASE WHEN total_alerts > 0 THEN least(1, 0.25 * greatest(0, total_alerts - false_positive_count)) ELSE 0 END,
         false_positive_count) FILTER (WHERE kind = 1), 0) AS DECIMAL(5,4)) AS risk_score
     FROM run GROUP BY user_id""",
     ev="""SELECT user_id, created_at AS ts, 0 AS kind, id AS event_id FROM alerts_fx
-    UNION ALL SELECT user_id, resolved_at, 1, event_id FROM fp_fx""", run=RUN))
+    UNION ALL SELECT user_id, resolved_at, 1, event_id FROM fp_fx""", run=RUN)
+
+
+def _profiles(t, source, feed) -> DataFrame:
+    out, check = shared_dir(t.spark, "profiles"), shared_dir(t.spark, "profiles_check")
+    feed(results(t, lambda path: stream_compensation(
+        file_stream(t.spark, path, source.schema)), out, check))
+    return t.spark.read.parquet(out).groupBy("user_id").agg(F.max_by(
+        F.struct("total_alerts", "false_positive_count", "risk_score"),
+        F.col("total_alerts") + F.col("false_positive_count")).alias("s")).select("user_id", "s.*")
+
+
+@query("stream_compensation", COMPENSATED)
 def compensation(t):
     source = profile_input(t.alerts_fx, t.fp_fx)
     twice = source.unionByName(source.where("event_id % 10 = 0"))
-    out, check = shared_dir(t.spark, "profiles"), shared_dir(t.spark, "profiles_check")
-    run_in_parts(t, twice, "ts", results(
-        t, lambda path: stream_compensation(file_stream(t.spark, path, twice.schema)), out, check))
-    states = t.spark.read.parquet(out)
-    return states.groupBy("user_id").agg(F.max_by(
-        F.struct("total_alerts", "false_positive_count", "risk_score"),
-        F.struct(F.col("total_alerts") + F.col("false_positive_count"))).alias("s")
-    ).select("user_id", "s.*")
+    return _profiles(t, source, lambda run: run_in_parts(t, twice, "ts", run))
+
+
+@query("stream_compensation_disorder", COMPENSATED)
+def compensation_disorder(t):
+    """False positives before their alerts, both up to the whole time span late, some again."""
+    source = profile_input(t.alerts_fx, t.fp_fx)
+    first = source.where("(event_id + kind) % 3 = 0")
+    rest = source.where("(event_id + kind) % 3 <> 0").unionByName(first.where("event_id % 2 = 0"))
+    return _profiles(t, source, lambda run: run_pieces(t, [first, rest], run))
 
 
 @query("stream_retry_status", sql("attempts_fx", """

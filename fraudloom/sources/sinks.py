@@ -12,6 +12,8 @@ from fraudloom.operators.events import encode_envelope, route_events
 
 #: Folders by key hash in the inbox; a small batch reads only those of its keys.
 INBOX_BUCKETS = 16
+#: The folder name that Spark gives to NULL.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_streams(pending: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -44,15 +46,15 @@ def write_history(df: DataFrame, path: str, batch_id: int, ts: str = "created_at
 
 
 def read_history(
-    spark: SparkSession, path: str, days: list[datetime.date], batch_id: int,
+    spark: SparkSession, path: str, days: list[datetime.date | None], batch_id: int,
 ) -> DataFrame | None:
     """Rows of the given days from batches before `batch_id`; None when these have no folder.
 
-    Only the folders of these days are listed, however long the history is.
+    The day None holds rows without a time. Only the folders of these days are listed, however long the history is.
     """
     if not days:
         return None
-    listed = ",".join(sorted(str(day) for day in days))
+    listed = ",".join(sorted(NO_DAY if day is None else str(day) for day in days))
     try:
         history = spark.read.option("basePath", path).parquet(f"{path}/day={{{listed}}}")
     except AnalysisException as error:

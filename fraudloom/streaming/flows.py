@@ -1,4 +1,4 @@
-"""Streaming forms of deduplication, volume, detection, relay and notification."""
+"""Streaming forms of detection, relay and notification."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from fraudloom.operators.events import (
     alert_events, decode_envelope, encode_envelope, notification_messages, retry_or_dead_letter,
     route_events,
 )
-from fraudloom.operators.features import velocity_trailing, with_risk_profile
+from fraudloom.operators.features import with_risk_profile
 from fraudloom.operators.isolation import Forest
 from fraudloom.operators.merge import first_per_key
 from fraudloom.operators.profiles import add_alert_counts
@@ -22,55 +22,10 @@ from fraudloom.operators.scoring import build_alerts
 from fraudloom.plans.detection import decide_enriched
 from fraudloom.schemas import GROUP_PROCESSOR
 from fraudloom.sources.sinks import (
-    ensure_table, inbox_schema, read_batch, read_history, read_inbox, write_batch, write_history,
-    write_inbox,
+    ensure_table, inbox_schema, read_batch, read_inbox, write_batch, write_history, write_inbox,
 )
-
-
-def stream_dedup(
-    events: DataFrame, key: str = "event_id", ts: str = "created_at",
-    watermark: str = "10 minutes",
-) -> DataFrame:
-    """Every event once, however often it is delivered within the watermark delay."""
-    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
-
-
-def stream_volume_5m(
-    txns: DataFrame, ts: str = "created_at", watermark: str = "1 minute",
-) -> DataFrame:
-    """Volume per closed 5-minute bucket; rows later than the watermark are dropped.
-
-    Distinct users are counted exactly in two steps: one state row per bucket and user, then
-    one per bucket. No state row grows with the number of users.
-    """
-    per_user = txns.withWatermark(ts, watermark).groupBy(
-        F.window(ts, "5 minutes"), "user_id"
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-    return per_user.groupBy(F.window(F.window_time("window"), "5 minutes")).agg(
-        F.sum("n").alias("transaction_count"),
-        F.sum("amount").cast("decimal(24,2)").alias("total_amount"),
-        F.count(F.lit(1)).alias("active_users"),
-    ).select(F.col("window.start").alias("bucket"), "transaction_count", "total_amount",
-             "active_users")
-
-
-def velocity_of_batch(
-    batch: DataFrame, history: str, batch_id: int, minutes: int,
-) -> DataFrame:
-    """Velocity of one micro-batch against the stored transactions before it.
-
-    Each row counts every transaction seen so far in its window, also one that came late. The
-    work is the batch form over the batch and one window of history.
-    """
-    at = F.col("created_at").cast("timestamp_ntz")
-    opens = at - F.expr(f"INTERVAL {minutes} MINUTE")
-    days = batch.select(
-        F.explode(F.sequence(F.to_date(opens), F.to_date(at))).alias("day")).distinct().collect()
-    marked = batch.withColumn("_new", F.lit(True))
-    past = read_history(batch.sparkSession, history, [row["day"] for row in days], batch_id)
-    if past is not None:
-        marked = marked.unionByName(past, allowMissingColumns=True)
-    return velocity_trailing(marked, minutes).where("_new").drop("_new")
+from fraudloom.streaming.dedup import per_batch
+from fraudloom.streaming.velocity import velocity_of_batch
 
 
 def submission_key() -> Column:
@@ -141,19 +96,8 @@ def stream_detect(
     anew in every micro-batch; `load_profiles` gives the profiles without the alerts of this
     stream. A batch that is repeated after a failure replaces what it wrote before.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            if not batch.isEmpty():
-                write_detections(
-                    batch, batch_id, path, load_profiles(), load_rules(), forest, cfg)
-        finally:
-            batch.unpersist()
-
-    return (
-        txns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return per_batch(txns, checkpoint, lambda batch, batch_id: write_detections(
+        batch, batch_id, path, load_profiles(), load_rules(), forest, cfg))
 
 
 def stream_relay(outbox: DataFrame) -> DataFrame:

@@ -1,44 +1,65 @@
-"""Risk profiles kept up to date from streams of alerts and false positives."""
+"""Risk profiles kept up to date from streams of alerts and false positives, in any order."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fraudloom.functions.columns import micros
 from fraudloom.operators.profiles import _profile_events
+from fraudloom.streaming.dedup import stream_dedup
 
 PROFILE = "total_alerts bigint, false_positive_count bigint, score_units bigint, at_us bigint"
 QUARTER_UNITS = 2500
 FULL_UNITS = 10000
+#: The time of events that have none: before all others.
+NO_TIME = -(1 << 62)
 
 
 class ProfileState(StatefulProcessor):
-    """Counts and score of one user; three numbers, however many events there are."""
+    """Counts and score of one user, as if all events had come in order.
+
+    The score follows from the latest false positive: how many alerts were there by then, and how
+    many false positives there are. A late event only changes these numbers. Alerts after the
+    latest false positive are kept by time, as a later one may still take them in.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.profile = handle.getValueState(
-            "profile", "total bigint, fps bigint, units bigint")
+            "profile", "total bigint, fps bigint, before bigint, last bigint, at bigint")
+        self.open = handle.getMapState("open", "at bigint", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat([part[["at_us", "kind", "event_id"]] for part in rows])
-        batch = batch.sort_values(["at_us", "kind", "event_id"])
-        total, fps, units = self.profile.get() if self.profile.exists() else (0, 0, 0)
-        is_fp = batch["kind"].to_numpy() == 1
-        totals = total + (~is_fp).cumsum()
-        counts = fps + is_fp.cumsum()
-        if is_fp.any():
-            last = is_fp.nonzero()[0][-1]
-            effective = max(0, int(totals[last] - counts[last]))
-            units = min(FULL_UNITS, effective * QUARTER_UNITS) if totals[last] > 0 else 0
-        row = (int(totals[-1]), int(counts[-1]), int(units))
-        self.profile.update(row)
+        batch = pd.concat([part[["at_us", "kind"]] for part in rows])
+        at, is_fp = batch["at_us"].to_numpy(np.int64), batch["kind"].to_numpy() == 1
+        total, fps, before, last, newest = self.profile.get() if self.profile.exists() else (
+            0, 0, 0, None, NO_TIME)
+        total, fps = total + int((~is_fp).sum()), fps + int(is_fp.sum())
+        latest = max([int(at[is_fp].max())] if is_fp.any() else [], default=last)
+        if last is not None and latest is not None:
+            latest = max(last, latest)
+        if latest is not None and latest != last:
+            for (time,), (n,) in list(self.open.iterator()):
+                if time <= latest:
+                    before += n
+                    self.open.removeKey((time,))
+        times, counts = np.unique(at[~is_fp], return_counts=True)
+        for time, n in zip(times.tolist(), counts.tolist()):
+            if latest is not None and time <= latest:
+                before += n
+            else:
+                known = self.open.getValue((time,))[0] if self.open.containsKey((time,)) else 0
+                self.open.updateValue((time,), (known + n,))
+        newest = max(newest, int(at.max()))
+        self.profile.update((total, fps, before, latest, newest))
+        units = min(FULL_UNITS, max(0, before - fps) * QUARTER_UNITS) if latest is not None else 0
         yield pd.DataFrame({
-            "user_id": [key[0]], "total_alerts": [row[0]], "false_positive_count": [row[1]],
-            "score_units": [row[2]], "at_us": [int(batch["at_us"].iloc[-1])],
+            "user_id": [key[0]], "total_alerts": [total], "false_positive_count": [fps],
+            "score_units": [units], "at_us": [newest],
         })
 
     def close(self) -> None:
@@ -49,20 +70,19 @@ def profile_input(alerts: DataFrame, fp_events: DataFrame) -> DataFrame:
     return _profile_events(alerts, fp_events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_compensation(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Profile after every batch of events, for the users in it.
+def stream_compensation(events: DataFrame) -> DataFrame:
+    """Profile after every batch of events, for the users in it, corrected by late events.
 
-    Redelivered events are dropped first; scores move only on false positives.
+    Redelivered events are dropped first, however late; scores move only on false positives.
     """
-    fresh = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(
-        ["event_id", "kind"])
     kind = events.schema["user_id"].dataType.simpleString()
-    states = fresh.withColumn("at_us", micros("ts")).groupBy("user_id").transformWithStateInPandas(
+    states = stream_dedup(events, ["event_id", "kind"]).withColumn(
+        "at_us", F.coalesce(micros("ts"), F.lit(NO_TIME))).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=ProfileState(), outputStructType=f"user_id {kind}, {PROFILE}", outputMode="Append",
         timeMode="None",
     )
     return states.select(
         "user_id", "total_alerts", "false_positive_count",
         (F.col("score_units") / FULL_UNITS).cast("decimal(5,4)").alias("risk_score"),
-        F.timestamp_micros("at_us").alias("changed_at"),
+        F.when(F.col("at_us") > NO_TIME, F.timestamp_micros("at_us")).alias("changed_at"),
     )

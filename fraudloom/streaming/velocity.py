@@ -1,97 +1,64 @@
-"""Trailing velocity on a stream, with state that ends with its time slice.
+"""Trailing velocity on a stream, over stored history and not over a watermark.
 
-As in the batch form, every transaction goes to its own slice of the time axis and, moved
-forward by the window length, to the next one. State is kept per (user, slice), so it never
-holds more than one window of one user and is removed when the watermark has passed it.
+Each micro-batch is counted by the batch form over its own rows and the stored rows that its windows
+reach, so a row may come as late as it likes: it counts what is before it, and rows after it count it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from fraudloom.functions.columns import micros
-from fraudloom.plans.slices import MINUTE_US, whole_slices
-
-
-class SliceVelocity(StatefulProcessor):
-    """Counts and sums the rows of one (user, slice) around each own row."""
-
-    def __init__(self, window_us: int, payload: list[str]):
-        self.window_us, self.payload = window_us, payload
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getListState("seen", "us bigint, cents bigint, own boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows), ignore_index=True)
-        known = list(self.seen.get())
-        new = list(zip(batch["us"].tolist(), batch["cents"].tolist(), batch["own"].tolist()))
-        self.seen.appendList(new)
-        if not known:
-            end_ms = (int(key[1]) + 1) * self.window_us // 1000
-            self.handle.registerTimer(max(end_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        own_us, own_sum = _prefix([row for row in known + new if row[2]])
-        edge_us, edge_sum = _prefix([row for row in known + new if not row[2]])
-        current = batch[batch["own"]]
-        if current.empty:
-            return iter(())
-        at = current["us"].to_numpy()
-        own_n = np.searchsorted(own_us, at, side="right")
-        edge_gone = np.searchsorted(edge_us, at, side="left")
-        out = current[self.payload].copy()
-        out.insert(0, "user_id", key[0])
-        out.insert(1, "slice", key[1])
-        out["txn_count"] = own_n + len(edge_us) - edge_gone
-        out["total_cents"] = own_sum[own_n] + edge_sum[-1] - edge_sum[edge_gone]
-        return iter((out,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.seen.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from fraudloom.operators.features import velocity_trailing
+from fraudloom.sources.sinks import read_history, write_batch, write_history
+from fraudloom.streaming.dedup import per_batch, stream_dedup
+
+
+def reach_of_batch(batch: DataFrame, minutes: int) -> tuple[list, Column]:
+    """The days that windows of the batch touch and, of each, the stretch of time they need."""
+    at = F.col("created_at").cast("timestamp_ntz")
+    opens = at - F.expr(f"INTERVAL {minutes} MINUTE")
+    spans = batch.select(opens.alias("low"), at.alias("high"), F.explode_outer(
+        F.sequence(F.to_date(opens), F.to_date(at))).alias("day")).groupBy("day").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    needed, own = F.lit(False), F.col("created_at").cast("timestamp_ntz")
+    for span in spans:
+        if span["day"] is None:
+            needed |= F.col("created_at").isNull()
+        else:
+            needed |= (F.to_date(own) == F.lit(span["day"])) & own.between(
+                F.lit(span["low"]).cast("timestamp_ntz"), F.lit(span["high"]).cast("timestamp_ntz"))
+    return [span["day"] for span in spans], needed
+
+
+def velocity_of_batch(
+    batch: DataFrame, history: str, batch_id: int, minutes: int,
+) -> DataFrame:
+    """Velocity of one micro-batch against the stored transactions before it.
 
-def _prefix(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted times and the running sums before each of them, plus the total."""
-    rows = sorted(rows)
-    us = np.array([row[0] for row in rows], dtype=np.int64)
-    sums = np.concatenate([[0], np.cumsum([row[1] for row in rows], dtype=np.int64)])
-    return us, sums.astype(np.int64)
+    Each row counts every transaction seen so far in its window, also one that came late. The
+    work is the batch form over the batch and the stretches of history that its windows reach.
+    """
+    days, needed = reach_of_batch(batch, minutes)
+    marked = batch.withColumn("_new", F.lit(True))
+    past = read_history(batch.sparkSession, history, days, batch_id)
+    if past is not None:
+        marked = marked.unionByName(past.where(needed), allowMissingColumns=True)
+    return velocity_trailing(marked, minutes).where("_new").drop("_new")
 
 
 def stream_velocity(
-    txns: DataFrame, minutes: int = 10, watermark: str = "10 minutes",
-) -> DataFrame:
-    """Adds count and sum of the trailing window to every transaction as it arrives."""
-    window_us = minutes * MINUTE_US
-    txns = txns.withWatermark("created_at", watermark)
-    payload = [c for c in txns.columns if c != "user_id"]
-    cents = (F.col("amount") * 100).cast("bigint")
-    us = micros("created_at")
-    own = F.struct(whole_slices(us, window_us).alias("slice"), us.alias("us"),
-                   F.lit(True).alias("own"))
-    edge = F.struct((whole_slices(us, window_us) + 1).alias("slice"), (us + window_us).alias("us"),
-                    F.lit(False).alias("own"))
-    rows = txns.select(
-        "user_id", *payload, cents.alias("cents"), F.inline(F.array(own, edge)))
-    kinds = dict(txns.dtypes)
-    schema = ", ".join(
-        [f"user_id {kinds['user_id']}", "slice bigint"]
-        + [f"{name} {kinds[name]}" for name in payload]
-        + ["txn_count bigint", "total_cents bigint"])
-    counted = rows.groupBy("user_id", "slice").transformWithStateInPandas(
-        statefulProcessor=SliceVelocity(window_us, payload), outputStructType=schema,
-        outputMode="Append", timeMode="EventTime",
-    )
-    return counted.select(
-        "user_id", *payload, "txn_count",
-        (F.col("total_cents") / 100).cast("decimal(24,2)").alias("total_amount"),
-    )
+    txns: DataFrame, path: str, checkpoint: str, minutes: int = 10,
+    key: str | None = "transaction_id",
+) -> StreamingQuery:
+    """Writes count and sum of the trailing window of every transaction to `path`/velocity.
+
+    Every transaction comes out once, with what had arrived when it did; `key` tells repeats, None
+    takes every row as a new one. Rows without user or time count as in `velocity_trailing`.
+    """
+    def count(batch: DataFrame, batch_id: int) -> None:
+        history = f"{path}/history"
+        write_batch(velocity_of_batch(batch, history, batch_id, minutes), f"{path}/velocity", batch_id)
+        write_history(batch.select("user_id", "created_at", "amount"), history, batch_id)
+
+    return per_batch(stream_dedup(txns, key) if key else txns, checkpoint, count)

@@ -12,8 +12,11 @@ from fraudloom.registry.streams import tune
 from fraudloom.session import shared_dir
 from fraudloom.sources.streams import file_stream
 from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
-from fraudloom.streaming.flows import stream_dedup, stream_detect, stream_volume_5m, write_files
+from fraudloom.streaming.dedup import stream_dedup
+from fraudloom.streaming.flows import stream_detect, write_files
+from fraudloom.streaming.profiles import stream_compensation
 from fraudloom.streaming.velocity import stream_velocity
+from fraudloom.streaming.volume import current_volume, stream_volume_5m
 
 START = datetime.datetime(2024, 1, 1)
 TXN = ("transaction_id long, user_id long, amount decimal(14,2), currency string, country string,"
@@ -49,24 +52,90 @@ def test_dedup_over_restarts(spark):
     assert sorted(r["transaction_id"] for r in out.collect()) == [1, 2, 3]
 
 
+def fold(spark, run, *batches):
+    """Runs `run(stream, path, checkpoint)` after every batch; gives the path."""
+    path, out, check = (shared_dir(spark, "t") for _ in range(3))
+    for batch in batches:
+        batch.write.mode("append").parquet(path)
+        run(file_stream(spark, path, batch.schema), out, check).awaitTermination()
+    return out
+
+
+def test_dedup_keeps_rows_without_key_and_drops_late_repeats(spark):
+    rows = txns(spark, (1, 1, 0, 5), (2, 1, 1, 5), (3, 1, 2, 5)).withColumn(
+        "transaction_id", F.expr("nullif(transaction_id, 2)"))
+    far = txns(spark, (4, 1, 100_000, 5))
+    out = feed(spark, lambda s: stream_dedup(s, "transaction_id"), rows.unionByName(rows), far, rows)
+    found = sorted((r["transaction_id"] or 0) for r in out.collect())
+    assert found == [0, 0, 0, 1, 3, 4]
+
+
 def test_velocity_sees_late_rows(spark):
     """A late row counts what is before it, and later rows count it."""
-    out = feed(
+    out = fold(
         spark, stream_velocity,
         txns(spark, (1, 1, 1, 10), (2, 1, 8, 20), (3, 2, 8, 1)),
-        txns(spark, (4, 1, 5, 40)), txns(spark, (5, 1, 12, 80), (6, 1, 11, 160)))
-    found = {r["transaction_id"]: (r["txn_count"], int(r["total_amount"])) for r in out.collect()}
-    assert found == {1: (1, 10), 2: (2, 30), 3: (1, 1), 4: (2, 50), 6: (4, 230), 5: (4, 300)}
+        txns(spark, (4, 1, 5, 40)), txns(spark, (5, 1, 12, 80), (6, 1, 11, 160), (4, 1, 5, 40)),
+        txns(spark, (7, 1, 100_000, 1)), txns(spark, (8, 1, 9, 320)))
+    rows = spark.read.parquet(f"{out}/velocity").collect()
+    found = {r["transaction_id"]: (r["txn_count"], int(r["total_amount"])) for r in rows}
+    assert len(rows) == 8 and found == {
+        1: (1, 10), 2: (2, 30), 3: (1, 1), 4: (2, 50), 6: (4, 230), 5: (4, 300), 7: (1, 1), 8: (4, 390)}
+
+
+def test_velocity_of_rows_without_user_or_time(spark):
+    odd = txns(spark, (1, 1, 1, 10), (2, 1, 2, 20), (3, 1, 3, 40)).withColumn(
+        "user_id", F.expr("if(transaction_id = 2, null, user_id)")).withColumn(
+        "created_at", F.expr("if(transaction_id = 3, null, created_at)"))
+    again = odd.withColumn("transaction_id", F.col("transaction_id") + 10)
+    out = fold(spark, stream_velocity, odd, again)
+    found = {r["transaction_id"]: r["txn_count"] for r in spark.read.parquet(f"{out}/velocity").collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 11: 2, 12: 2, 13: 2}
+
+
+def test_volume_is_corrected_by_late_rows(spark):
+    """A row that comes after its bucket was written corrects it; a repeat does not."""
+    late = txns(spark, (5, 1, 1, 99), (6, 3, 90, 1), (1, 1, 1, 10))
+    out = fold(
+        spark, stream_volume_5m,
+        txns(spark, (1, 1, 1, 10), (2, 2, 2, 20), (3, 1, 3, 5), (4, 1, 30, 1)), late,
+        txns(spark, (7, 9, 2, 1)).withColumn("user_id", F.lit(None).cast("long")),
+        txns(spark, (8, 9, 2, 7)).withColumn("created_at", F.lit(None).cast("timestamp")))
+    rows = {r["bucket"]: tuple(r)[1:] for r in current_volume(spark, out).collect()}
+    at = lambda m: START + datetime.timedelta(minutes=m)
+    assert rows == {START: (5, Decimal("135.00"), 2), at(30): (1, Decimal("1.00"), 1),
+                    at(90): (1, Decimal("1.00"), 1)}
 
 
-def test_volume_drops_rows_behind_the_watermark(spark):
-    out = feed(
-        spark, stream_volume_5m,
-        txns(spark, (1, 1, 1, 10), (2, 2, 2, 20), (3, 1, 3, 5), (4, 1, 30, 1)),
-        txns(spark, (5, 1, 1, 99), (6, 3, 90, 1)))
-    rows = {r["bucket"]: tuple(r)[1:] for r in out.collect()}
-    assert rows[START] == (3, Decimal("35.00"), 2)
-    assert len(rows) == 2
+def profile_events(spark, *rows):
+    """(user, minute or None, kind, event id)."""
+    return spark.createDataFrame(
+        [(u, None if m is None else START + datetime.timedelta(minutes=m), k, i) for u, m, k, i in rows],
+        "user_id long, ts timestamp, kind int, event_id long")
+
+
+@pytest.mark.parametrize("cuts", [(5, 9), (1, 2), (3, 11)])
+def test_profiles_do_not_depend_on_the_order_of_events(spark, cuts):
+    import random
+
+    pick = random.Random(sum(cuts))
+    rows = [(pick.choice([1, 2]), pick.choice([1, 5, 9, 30, 200]), pick.choice([0, 0, 1]), i) for i in range(24)]
+    pick.shuffle(rows)
+    parts = [rows[:cuts[0]], rows[cuts[0]:cuts[1]], rows[cuts[1]:] + rows[:4]]
+    out = feed(spark, stream_compensation, *[profile_events(spark, *p) for p in parts])
+    found = {}
+    for r in out.collect():
+        known = found.get(r["user_id"], (0, 0, None))
+        if r["total_alerts"] + r["false_positive_count"] > known[0] + known[1]:
+            found[r["user_id"]] = (r["total_alerts"], r["false_positive_count"], float(r["risk_score"]))
+    for user in {r[0] for r in rows}:
+        total = fps = 0
+        score = 0.0
+        for _, _, kind, _ in sorted((r for r in rows if r[0] == user), key=lambda r: (r[1], r[2], r[3])):
+            total, fps = total + (kind == 0), fps + kind
+            if kind:
+                score = min(1, 0.25 * max(0, total - fps))
+        assert found[user] == (total, fps, score)
 
 
 def test_lifecycle_timers_and_races(spark):
