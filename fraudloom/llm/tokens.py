@@ -26,8 +26,8 @@ class IdEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to encoding it as a whole.
 
     Where the tokenizer cuts texts at white space before it merges, parts between such cuts are
-    encoded once and remembered; other tokenizers get whole texts. Control strings inside a text
-    are ordinary text.
+    encoded once and remembered; other tokenizers get whole texts. So does a text that holds an added
+    token, such as a control string, which becomes that token's id as in the library.
     """
 
     def __init__(self, path: str):
@@ -35,7 +35,9 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.added_starts = sorted({c for t in added for c in (t[0].lower(), t[0].upper())})
         self.layout = self._layout(json.loads(self.tokenizer.to_str()))
         self.young, self.old = {}, {}
 
@@ -88,7 +90,7 @@ class IdEncoder:
             return self._encode(texts)
         out, pieces_of, distinct = [b""] * len(texts), [], set()
         for i, text in enumerate(texts):
-            if _UNSURE.search(text):
+            if _UNSURE.search(text) or self._holds_added(text):
                 out[i] = self._encode([text])[0]
                 continue
             pieces = self._pieces(text)
@@ -99,6 +101,9 @@ class IdEncoder:
             out[i] = b"".join(map(get, pieces))
         return out
 
+    def _holds_added(self, text: str) -> bool:
+        return any(c in text for c in self.added_starts) and self.added.search(text) is not None
+
     def _pieces(self, text: str) -> list[str]:
         if self.layout == "dropped":
             return text.split()

@@ -13,7 +13,8 @@ from fraudloom.llm.tokens import IdEncoder
 from fraudloom.session import shared_dir
 
 ODD = ["", " ", "a", "A b", " a  b\n\nc ", "don't İ. stop", "é½.\x1c!", "<|endoftext|> x", "中文 字.",
-       "tab\there", "x" * 300, "a\u0301b. c", "nul\0 byte", "\n", "end.\n", "1 2 33 four4"]
+       "tab\there", "x" * 300, "a\u0301b. c", "nul\0 byte", "\n", "end.\n", "1 2 33 four4",
+       "a<|endoftext|>b", "[PAD] [UNK]x <s>y</s> <|ENDOFTEXT|>", "a <pad>  <mask> <unk>"]
 ROWS = [(i, t, "s", 1) for i, t in enumerate(ODD)] + [
     (50, None, "s", 1), (50, "repeated id", "s", 1), (50, "repeated id", "s", 1), (None, "no id", "s", 1),
     (60, "word and more words " * 2500, "s", 1)]
@@ -22,7 +23,6 @@ SCHEMA = "doc_id long, text string, ids string, offset int"
 
 def whole(path, text, end):
     known = Tokenizer.from_file(path)
-    known.encode_special_tokens = True
     return np.array(known.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
