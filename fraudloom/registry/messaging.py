@@ -203,3 +203,22 @@ def relayed(t):
     path = shared_dir(t.spark, "relay")
     write_streams(t.outbox_fx.where("status = 'PENDING'"), path)
     return t.spark.read.parquet(path).select("id", "stream", "status", "envelope")
+
+
+@query("relay_claims", sql("outbox_fx", f"""
+    SELECT id, stream, {ENVELOPE} AS envelope, CAST(1 AS BIGINT) AS times, 'PUBLISHED' AS status
+    FROM routed WHERE status = 'PENDING'""", routed=ROUTED))
+def relayed_by_claims(t):
+    """Two claimers of which one dies before its commit, a third run of one claimer, and one more."""
+    from fraudloom.session import shared_dir
+    from fraudloom.sources.relay import outbox_status, published, relay_claim
+
+    path, outbox = shared_dir(t.spark, "claims"), t.outbox_fx
+    relay_claim(outbox, path, 0, 2, limit=100)
+    relay_claim(outbox, path, 1, 2, commit=False)
+    relay_claim(outbox, path, 1, 2)
+    relay_claim(outbox, path, 0, 1)
+    relay_claim(outbox, path, 0, 1)
+    sent = published(outbox, path).groupBy("id", "stream", "envelope").agg(
+        F.count(F.lit(1)).alias("times"))
+    return sent.join(outbox_status(outbox, path).select("id", "status"), "id")

@@ -20,6 +20,7 @@ from fraudloom.registry.messaging import DECODED, ENVELOPE, FAILED
 from fraudloom.session import prepare, shared_dir
 from fraudloom.sources.streams import event_stream_from_start, file_stream, transaction_stream
 from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
+from fraudloom.streaming.consume import stream_consume
 from fraudloom.streaming.dedup import stream_dedup
 from fraudloom.streaming.flows import (
     stream_detect, stream_notifications, stream_relay, stream_retry_status, write_files,
@@ -381,3 +382,26 @@ def notifications(t):
         t, lambda path: stream_notifications(file_stream(t.spark, path, source.schema)),
         out, check))
     return t.spark.read.parquet(out)
+
+
+@query("stream_consume", sql("raw_messages", """
+    SELECT 'events' AS kind, message_id, CAST(1 AS INT) AS retry_count FROM decoded WHERE error IS NULL
+    UNION ALL SELECT 'malformed', message_id, 1 FROM decoded WHERE error IS NOT NULL
+    UNION ALL SELECT 'exhausted', message_id, 6 FROM decoded WHERE message_id % 11 = 0""", decoded=DECODED))
+def consumed(t):
+    """Messages delivered once, three times, or three and four times in two batches."""
+    source = timed(t.raw_messages, "created_at")
+    times = F.when(F.col("message_id") % 11 == 0, 3).when(F.col("message_id") % 13 == 0, 2).otherwise(1)
+    many = source.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
+    late = source.where("message_id % 11 = 0").withColumn(
+        "_n", F.explode(F.sequence(F.lit(1), F.lit(4)))).drop("_n")
+    out, check = shared_dir(t.spark, "consume"), shared_dir(t.spark, "consume_check")
+    run_pieces(t, [many.where("message_id % 2 = 0 OR message_id % 11 = 0"), many.where(
+        "message_id % 2 = 1 AND message_id % 11 <> 0").unionByName(late)], lambda path: stream_consume(
+        file_stream(t.spark, path, source.schema), out, check).awaitTermination())
+    kinds = [t.spark.read.parquet(f"{out}/events").select(
+        F.lit("events").alias("kind"), "message_id", F.lit(1).alias("retry_count"))]
+    kinds += [t.spark.read.parquet(f"{out}/{kind}").select(
+        F.lit(kind).alias("kind"), F.col("original_event_id").cast("long").alias("message_id"), "retry_count")
+        for kind in ("malformed", "exhausted")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
