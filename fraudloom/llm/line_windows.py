@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from fraudloom.llm.common import SPACES
+from fraudloom.llm.common import SPACES, written
+from fraudloom.llm.repeats import repeated_rows
 
 #: A line ends at a line break, and after a sentence: running text often holds a passage in one line.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
@@ -93,12 +94,13 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text and position, stays; every later one covers its lines, and covered lines are removed as a
     union. Texts of fewer than three lines, NULL and empty ones are left as they are; a text can
     become empty. Rows equal in id and text count as one document, so neither loses lines to the
-    other. `removed_col` adds the number of lines removed. With `chains`, more than three short lines
+    other. `removed_col` adds the number of lines removed, in place of a column of that name. With `chains`, more than three short lines
     that reach `min_chars` together are windows too, so any repeated passage of three or more whole
     lines with that many characters is removed.
 
-    One shuffle of hashes with counts, combined before it, tells which windows repeat; a second one
-    meets them with their occurrences. Hashes have 64 bits: of n windows about n / 2**64 of them
+    One shuffle of hashes alone tells which windows repeat (`repeated_rows`); only those are shuffled
+    with their places and meet the first of their kind, a join that adaptive execution splits where
+    one window is very common. Hashes have 64 bits: of n windows about n / 2**64 of them
     are taken for a repeat by chance.
     """
     row = docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__key"),
@@ -108,11 +110,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if chains:
         longer = row.select("__id", "__key", F.inline(_chains(F.col("__lines"), min_chars)))
         windows = windows.withColumn("__width", F.lit(WIDTH)).unionByName(longer)
-    repeated = windows.groupBy("__window").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__key", "__at")).alias("__first")
-    ).filter(F.col("__n") > 1).drop("__n")
-    later = windows.join(repeated, "__window").filter(
-        F.struct("__id", "__key", "__at") > F.col("__first"))
+    windows = written(repeated_rows(windows, "__window"), "line-windows")
+    place = F.struct("__id", "__key", "__at")
+    repeated = written(windows.groupBy("__window").agg(
+        F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")
+    ).filter(F.col("__n") > 1).drop("__n"), "line-firsts")
+    later = windows.join(repeated, "__window").filter(place > F.col("__first"))
     later = later.select("__id", "__key", F.explode(F.sequence(
         "__at", F.col("__at") + F.col("__width") - WIDTH)).alias("__at")) if chains else later
     covered = later.groupBy(F.col("__id").alias("__doc"), F.col("__key").alias("__doc_key")).agg(
@@ -122,7 +125,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "left")
     fresh = without_lines(F.when(F.col("__starts").isNotNull(), F.col(text_col)), F.col("__starts"))
     out = [F.coalesce(fresh, F.col(text_col)).alias(text_col) if c == text_col else F.col(c)
-           for c in docs.columns]
+           for c in docs.columns if c != removed_col]
     if removed_col:
         out.append(_covered_lines(F.col("__starts")).alias(removed_col))
     return joined.select(*out)

@@ -97,16 +97,17 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is found through the index and read from the shard it points at."""
+    """The ids of every document are fetched by its key, those without a key by a scan of theirs."""
     docs, path = read(spark, sf_dir, "documents"), shared_dir(spark, "token-index")
     token_index.write_token_index(docs, path, tokenizer_path(INDEX_TOKENIZER), INDEX_END)
-    found = token_index.lookup(spark, path, docs.select("doc_id"), "doc_id").select(
-        F.col("key").alias("asked"), F.struct("part", "shard", "offset").alias("first"), "copies")
-    stored = token_index.read_back(spark, path).withColumn("at", F.struct("part", "shard", "offset"))
-    keyed = stored.join(found, (F.col("key") == F.col("asked")) & (
-        (F.col("at") == F.col("first")) | (F.col("copies") > 1) & (F.col("at") > F.col("first"))))
-    columns = [F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32"]
-    return keyed.select(*columns).unionAll(stored.filter(F.col("key").isNull()).select(*columns))
+    shards = spark.read.schema(token_index.SHARDS).parquet(f"{path}/shards")
+    keyed = token_index.fetch(spark, path, docs.select("doc_id"), "doc_id").select(
+        "key", "part", "shard", "offset", "count", F.crc32("ids").alias("ids_crc32")).join(
+        token_index.shard_starts(shards), ["part", "shard"]).select(
+        F.col("key").alias("doc_id"), (F.col("shard_start") + F.col("offset")).alias("start"),
+        F.col("count").alias("n_tokens"), "ids_crc32")
+    return keyed.unionAll(token_index.read_back(spark, path, only_keyless=True).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32"))
 
 
 def rebuilt_conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from fraudloom.llm.common import map_texts, written
+from fraudloom.llm.repeats import repeated_rows
 
 RUN, GRAM = 50, 25
 #: Scripts written without spaces: each of their characters counts as a word.
@@ -130,9 +131,7 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
                       F.col(text_col).alias("__text"))
     grams = written(map_texts(row, ["__id", "__key"], "__text", _grams,
                               f"__id {kinds}, __key long, gram long, at int"), "run-grams")
-    again = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("__n")).filter(
-        F.col("__n") > 1).select("gram")
-    near = grams.join(again, "gram", "left_semi").groupBy(
+    near = repeated_rows(grams, "gram").groupBy(
         F.col("__id").alias("__doc"), F.col("__key").alias("__doc_key")).agg(
         F.collect_set("at").alias("near"))
     touched = row.join(near, (F.col("__key") == F.col("__doc_key")) & F.col("__id").eqNullSafe(
@@ -140,8 +139,9 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     runs = written(map_texts(touched, ["__id", "__key", "near"], "__text", _runs,
                              f"__id {kinds}, __key long, run long, at int"), "run-hashes")
     place = F.struct("__id", "__key", "at")
-    repeated = runs.groupBy("run").agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias(
-        "__first")).filter(F.col("__n") > 1).drop("__n")
+    runs = written(repeated_rows(runs, "run"), "run-repeats")
+    repeated = written(runs.groupBy("run").agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias(
+        "__first")).filter(F.col("__n") > 1).drop("__n"), "run-firsts")
     first = F.col("__first")
     apart = ~(F.col("__id").eqNullSafe(first["__id"]) & (F.col("__key") == first["__key"])) | (
         F.col("at") >= first["at"] + RUN)

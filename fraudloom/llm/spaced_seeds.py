@@ -89,7 +89,12 @@ def _places(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return seed & mask, (seed >> np.uint64(64 - bits)) & mask
 
 
-def _filter_bits(seeds: DataFrame, bits: int) -> np.ndarray:
+def bits_for(n: int) -> int:
+    """The size of a bit array for n seeds, as a power of two."""
+    return int(np.clip(np.ceil(np.log2(max(1, n) * BITS_PER_SEED)), LEAST_BITS, MOST_BITS))
+
+
+def bit_array(seeds: DataFrame, bits: int) -> np.ndarray:
     """A bit array over two places of every seed, put together in blocks; at most 16 MB."""
     def places(frames):
         for frame in frames:
@@ -109,7 +114,7 @@ def _filter_bits(seeds: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _held(table: np.ndarray, bits: int, seeds: np.ndarray) -> np.ndarray:
+def held(table: np.ndarray, bits: int, seeds: np.ndarray) -> np.ndarray:
     """Positions of the seeds whose places are both set."""
     first, second = _places(seeds, bits)
 
@@ -141,7 +146,7 @@ def _regions(docs: DataFrame, id_col: str, text_col: str, table, bits: int, mask
             at_all, seed_all = [], []
             for mask in masks:
                 seeds = seeds_of(words, mask)
-                at = _held(table.value, bits, seeds)
+                at = held(table.value, bits, seeds)
                 doc = np.searchsorted(ends, at, side="right")
                 at, doc = at[inside := at + len(mask) <= ends[doc]], doc[inside]
                 at_all.append(at), seed_all.append(seeds[at])
@@ -210,9 +215,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       F.collect_set(F.when((F.size("words") < SPAN) & (F.size("words") >= MIN_ITEM),
                                            F.size("words"))).alias("short")).first()
     n = facts["n"] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, n) * BITS_PER_SEED)), LEAST_BITS, MOST_BITS))
+    bits = bits_for(n)
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_filter_bits(seeds, bits) if n else np.zeros(
+    table = spark.sparkContext.broadcast(bit_array(seeds, bits) if n else np.zeros(
         (1 << bits) // 8, np.uint8))
     masks = list(dict.fromkeys([*MASKS, *("1" * k for k in sorted(facts["short"]))]))
     regions = written(_regions(docs, id_col, text_col, table, bits, masks,

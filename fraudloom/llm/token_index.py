@@ -127,29 +127,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         run, SHARDS).write.option("compression", "zstd").parquet(f"{path}/shards")
 
 
-def headers(shards: DataFrame) -> DataFrame:
-    """One row per stored document: key, part, shard, offset (ids of the shard before it), count.
-
-    Reads no payload.
-    """
-    listed = shards.select("part", "shard", F.posexplode(F.arrays_zip("doc_ids", "counts"))
-                           .alias("__at", "__doc"), "counts")
-    return listed.select(
-        F.col("__doc.doc_ids").alias("key"), "part", "shard",
-        F.aggregate(F.slice("counts", 1, F.col("__at")), F.lit(0).cast("long"),
-                    lambda a, x: a + x).alias("offset"),
-        F.col("__doc.counts").alias("count"))
-
-
 def build_index(shards: DataFrame, path: str) -> None:
     """Builds the minimal perfect hash of each bucket of keys and writes it beside the shards.
 
     A key stored more than once points at its first row and counts its rows; rows without a key
     are not indexed.
     """
-    entries = shards.select("part", "shard", "doc_ids", "counts").mapInArrow(
-        _entries, "key long, part int, shard int, offset long, count long")
-    entries = entries.filter(F.col("key").isNotNull())
+    entries = places(shards).filter(F.col("key").isNotNull())
     n_keys = shards.select(F.sum(F.size("doc_ids")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-n_keys // KEYS_PER_BUCKET))
     keyed = entries.groupBy("key").agg(
@@ -171,6 +155,12 @@ def build_index(shards: DataFrame, path: str) -> None:
         "buckets", F.lit(buckets).cast("long")).write.parquet(f"{path}/index")
 
 
+def places(shards: DataFrame) -> DataFrame:
+    """One row per stored document: key, part, shard, offset, count. Reads no payload."""
+    return shards.select("part", "shard", "doc_ids", "counts").mapInArrow(
+        _entries, "key long, part int, shard int, offset long, count long")
+
+
 def _entries(batches):
     arrow = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()),
                        ("offset", pa.int64()), ("count", pa.int64())])
@@ -226,11 +216,65 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key"
     return wanted.cogroup(index.drop("buckets").groupBy("bucket")).applyInPandas(run, LOCATED)
 
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
+def fetch(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """Token ids by key: one row per stored document of each key found, with part, shard, offset,
+    count and `ids` (little-endian unsigned 32-bit).
+
+    Places come from the index, the further places of a key that is stored more than once from the
+    key lists of the shards. Places meet their shard by an equi-join, one list per shard, and each
+    payload is cut at offset and count; shards without a wanted key are not cut. Keys that are not
+    stored, and NULL keys, give no row; a key asked for twice counts once.
+    """
+    shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    found = lookup(spark, path, keys, key_col)
+    several = found.filter(F.col("copies") > 1).select(F.col("key").alias("__key"))
+    place = ["key", "part", "shard", "offset", "count"]
+    more = places(shards).join(several, F.col("key") == F.col("__key")).select(*place)
+    wanted = found.filter(F.col("copies") == 1).select(*place).unionAll(more).groupBy(
+        "part", "shard").agg(F.collect_list(F.struct("key", "offset", "count")).alias("wanted"))
+    arrow = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()),
+                       ("offset", pa.int64()), ("count", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(j)[i] for j, c in enumerate(batch.schema.names)}
+                asked = row["wanted"].values
+                key, offset, count = (asked.field(c) for c in ("key", "offset", "count"))
+                payload = np.frombuffer(row["payload"].as_buffer(), f"<u{row['width'].as_py()}")
+                cut = [payload[a:a + n].astype("<u4").tobytes()
+                       for a, n in zip(offset.to_pylist(), count.to_pylist())]
+                n = len(cut)
+                yield pa.RecordBatch.from_arrays(
+                    [key, pa.array([row["part"].as_py()] * n, pa.int32()),
+                     pa.array([row["shard"].as_py()] * n, pa.int32()), offset, count,
+                     pa.array(cut, pa.binary())], schema=arrow)
+
+    return shards.select("part", "shard", "width", "payload").join(wanted, ["part", "shard"]).mapInArrow(
+        run, "key long, part int, shard int, offset long, count long, ids binary")
+
+
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """(part, shard, shard_start): the ids of all documents before each shard, from sums per part and
+    per shard, so no task sees more than the list of parts. Reads no payload."""
+    sums = shards.select("part", "shard", F.aggregate(
+        "counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("__ids"))
+    so_far = (Window.unboundedPreceding, -1)
+    parts = sums.groupBy("part").agg(F.sum("__ids").alias("__ids")).select(
+        "part", F.coalesce(F.sum("__ids").over(Window.orderBy("part").rowsBetween(*so_far)),
+                           F.lit(0)).alias("__part_start"))
+    inside = sums.select("part", "shard", F.coalesce(F.sum("__ids").over(
+        Window.partitionBy("part").orderBy("shard").rowsBetween(*so_far)), F.lit(0)).alias("__before"))
+    return inside.join(parts, "part").select(
+        "part", "shard", (F.col("__part_start") + F.col("__before")).alias("shard_start"))
+
+
+def read_back(spark: SparkSession, path: str, only_keyless: bool = False) -> DataFrame:
     """Reads every stored document from its shard: key, part, shard, offset, n_tokens, crc32 of the
     ids as little-endian unsigned 32-bit integers, and `start`, the ids of all documents before it.
 
-    `start` comes from sums per part and per shard, so no task sees more than the list of parts.
+    With `only_keyless`, documents without a key alone, which no index finds; shards without any are
+    not decoded.
     """
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
     arrow = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()),
@@ -252,17 +296,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                               pa.int64())], schema=arrow)
 
     schema = ("key long, part int, shard int, offset long, n_tokens long, ids_crc32 long")
-    stored = shards.mapInArrow(run, schema)
-    sums = shards.select("part", "shard", F.aggregate(
-        "counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("__ids"))
-    so_far = (Window.unboundedPreceding, -1)
-    parts = sums.groupBy("part").agg(F.sum("__ids").alias("__ids")).select(
-        "part", F.coalesce(F.sum("__ids").over(Window.orderBy("part").rowsBetween(*so_far)),
-                           F.lit(0)).alias("__part_start"))
-    starts = sums.select("part", "shard", F.coalesce(F.sum("__ids").over(
-        Window.partitionBy("part").orderBy("shard").rowsBetween(*so_far)), F.lit(0)).alias(
-        "__shard_start")).join(parts, "part")
-    return stored.join(starts, ["part", "shard"]).select(
-        "key", "part", "shard", "offset",
-        (F.col("__part_start") + F.col("__shard_start") + F.col("offset")).alias("start"),
+    decoded = shards.filter(F.exists("doc_ids", lambda k: k.isNull())) if only_keyless else shards
+    stored = decoded.mapInArrow(run, schema)
+    if only_keyless:
+        stored = stored.filter(F.col("key").isNull())
+    return stored.join(shard_starts(shards), ["part", "shard"]).select(
+        "key", "part", "shard", "offset", (F.col("shard_start") + F.col("offset")).alias("start"),
         "n_tokens", "ids_crc32")

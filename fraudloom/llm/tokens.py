@@ -8,9 +8,13 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words per generation of the memory; two generations are kept.
 REMEMBERED = 500_000
+#: New parts that are encoded as one text.
+JOINED = 64
 #: A word before one of these, white space or the end is always a token boundary. Where texts are
 #: normalised first, only letters that normalising leaves as they are count (Latin, Cyrillic).
 _PIECE = re.compile(
@@ -40,6 +44,16 @@ class IdEncoder:
         self.added_starts = sorted({c for t in added for c in (t[0].lower(), t[0].upper())})
         self.layout = self._layout(json.loads(self.tokenizer.to_str()))
         self.young, self.old = {}, {}
+        self.mark, self.mark_in = (" \x01 ", "\x01") if self.layout == "dropped" else ("\n", "\n")
+        self.mark_id = self._mark_id() if self.layout != "whole" else None
+
+    def _mark_id(self) -> int | None:
+        """The one id of the mark, if parts next to it keep their own ids."""
+        near = [self.tokenizer.encode(t, add_special_tokens=False).ids
+                for t in ("a", f"a{self.mark}b", "b")]
+        middle = near[1][len(near[0]):len(near[1]) - len(near[2])]
+        same = near[1] == near[0] + middle + near[2]
+        return middle[0] if same and len(middle) == 1 else None
 
     @staticmethod
     def _layout(spec: dict) -> str:
@@ -61,18 +75,43 @@ class IdEncoder:
         raw = flat.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the given pieces. Only their parts are remembered, which recur far more often."""
-        pattern = _LEADING_PIECE if self.layout == "leading" else _PIECE
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """As `_encode`, many parts in one text: a mark between them keeps them apart."""
+        if self.mark_id is None:
+            return self._encode(parts)
+        out, plain = [b""] * len(parts), []
+        for i, part in enumerate(parts):
+            if self.mark_in in part or part[-1:].isspace():
+                out[i] = self._encode([part])[0]
+            else:
+                plain.append(i)
+        for begin in range(0, len(plain), JOINED * 64):
+            own = plain[begin:begin + JOINED * 64]
+            texts = [self.mark.join([parts[i] for i in own[k:k + JOINED]])
+                     for k in range(0, len(own), JOINED)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            for x in ids:
+                x.append(self.mark_id)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", sum(map(len, ids)))
+            ends = np.flatnonzero(flat == self.mark_id) * 4
+            raw, start = flat.tobytes(), 0
+            for i, end in zip(own, ends.tolist(), strict=True):
+                out[i] = raw[start:end]
+                start = end + 4
+        return out
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the given pieces. Only their parts are remembered, which recur far more
+        often."""
+        find = (_LEADING_PIECE if self.layout == "leading" else _PIECE).findall
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old, known, split, new = self.young, self.old, {}, {}, {}
-        for piece in pieces:
-            ids = young.get(piece)
+        young, old, split, new = self.young, self.old, {}, {}
+        known = list(map(young.get, pieces))
+        for i, ids in enumerate(known):
             if ids is not None:
-                known[piece] = ids
                 continue
-            parts = split[piece] = pattern.findall(piece)
+            parts = split[i] = find(pieces[i])
             for part in parts:
                 if part not in young:
                     ids = old.get(part)
@@ -80,44 +119,55 @@ class IdEncoder:
                         new[part] = None
                     else:
                         young[part] = ids
-        young.update(zip(new, self._encode(list(new))))
-        for piece, parts in split.items():
-            known[piece] = b"".join([young[part] for part in parts])
+        young.update(zip(new, self._encode_parts(list(new))))
+        for i, parts in split.items():
+            known[i] = young[parts[0]] if len(parts) == 1 else b"".join([young[p] for p in parts])
         return known
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words are counted, told apart and put together by Arrow; Python sees
+        each distinct word of a batch once."""
         if self.layout == "whole":
             return self._encode(texts)
-        out, pieces_of, distinct = [b""] * len(texts), [], set()
+        out, at, prepared = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
-            if _UNSURE.search(text) or self._holds_added(text):
+            if "\0" in text or _UNSURE.search(text) or self._holds_added(text):
                 out[i] = self._encode([text])[0]
-                continue
-            pieces = self._pieces(text)
-            pieces_of.append((i, pieces))
-            distinct.update(pieces)
-        get = self._learn(distinct).__getitem__
-        for i, pieces in pieces_of:
-            out[i] = b"".join(map(get, pieces))
+            else:
+                at.append(i)
+                prepared.append(self._prepared(text))
+        if not at:
+            return out
+        lists = pc.split_pattern(pa.array(prepared, pa.large_string()), "\0")
+        ends = np.asarray(lists.offsets, np.int64)
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self._learn(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        _, places, raw = ids.buffers()
+        cuts = np.frombuffer(places, np.int64, len(ids) + 1)[ends - ends[0]].tolist()
+        raw = raw.to_pybytes() if raw is not None else b""
+        for i, a, b in zip(at, cuts, cuts[1:]):
+            out[i] = raw[a:b]
         return out
 
     def _holds_added(self, text: str) -> bool:
         return any(c in text for c in self.added_starts) and self.added.search(text) is not None
 
-    def _pieces(self, text: str) -> list[str]:
+    def _prepared(self, text: str) -> str:
+        """The text with a zero between its pieces."""
         if self.layout == "dropped":
-            return text.split()
+            if text.isascii():
+                return text.translate(_ASCII_SPACES)
+            return "\0".join(text.split())
         if "  " in text or "\t" in text or "\r" in text or " \n" in text or "\n " in text \
                 or "\n\n" in text or not text.isascii() and _LEADING_ODD.search(text) \
                 or text[:1].isspace() or text[-1:].isspace():
-            return _LEADING_PIECE.findall(text)
-        if "\0" in text:
-            return _LEADING_PIECE.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
+            return "\0".join(_LEADING_PIECE.findall(text))
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
 
 #: White space beyond ASCII, and the rare ASCII ones.
 _LEADING_ODD = re.compile(r"[^\S \n]")
+_ASCII_SPACES = {ord(c): "\0" for c in " \t\n\v\f\r"}
 
 
 def encoder(path: str) -> IdEncoder:

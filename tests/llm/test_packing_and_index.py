@@ -1,5 +1,6 @@
 """Packing and the token index against whole-text encoding by the library."""
 
+import random
 import zlib
 
 import numpy as np
@@ -120,6 +121,26 @@ def test_index_round_trip(spark, monkeypatch):
         first = next(x for x in stored if x["key"] == key)
         assert (r["part"], r["shard"], r["offset"], r["count"]) == (
             first["part"], first["shard"], first["offset"], first["n_tokens"])
+    got = {}
+    for r in token_index.fetch(spark, out, asked).collect():
+        assert r["count"] * 4 == len(r["ids"])
+        got.setdefault(r["key"], []).append(bytes(r["ids"]))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        k: sorted(x.tobytes() for x in texts[k]) for k in (0, 3, 50, 60)}
+    keyless = token_index.read_back(spark, out, only_keyless=True).collect()
+    assert keyless == [r for r in stored if r["key"] is None]
+
+
+def test_ids_of_random_texts_equal_the_library():
+    chosen = random.Random(5)
+    signs = "ab ,.'\n\té中\u0301 \x01\0\u3000  1<|>"
+    texts = ["".join(chosen.choice(signs) for _ in range(chosen.randrange(40))) for _ in range(2000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path, known = tokenizer_path(name), Tokenizer.from_file(tokenizer_path(name))
+        got = IdEncoder(path)
+        ids = [x for i in range(0, len(texts), 300) for x in got.batch(texts[i:i + 300])]
+        assert ids == [np.array(e.ids, "<u4").tobytes()
+                       for e in known.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_index_of_empty_table(spark):
@@ -128,6 +149,7 @@ def test_index_of_empty_table(spark):
                                   tokenizer_path("byte_bpe_50k.json"), 2)
     asked = spark.createDataFrame([(1,)], "key long")
     assert token_index.lookup(spark, out, asked).collect() == []
+    assert token_index.fetch(spark, out, asked).collect() == []
     assert token_index.read_back(spark, out).collect() == []
 
 
