@@ -10,16 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fraudloom.llm import (
-    line_windows, packing, repeated_runs, shingle_groups, spaced_seeds, toxicity,
+    line_windows, packing, repeated_runs, simhash, spaced_seeds, toxicity,
 )
 from fraudloom.llm.common import id_hash_mod, read, written
 from fraudloom.llm.queries import CAPACITY, PACK_END, PACK_TOKENIZER, tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold of their language. NULL and empty texts stay."""
+    """Documents below the toxicity threshold of their language. NULL and empty texts stay, and so do
+    all columns, those named `score` or `toxic` too."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train_rows=id_hash_mod("doc_id", 4) != 2)
-    return toxicity.score_texts(docs, model, docs.columns).filter(~F.col("toxic")).select(*docs.columns)
+    at = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    kept = toxicity.score_texts(docs.toDF(*at.values()), model, list(at.values()), at["text"], at["lang"])
+    return kept.filter(~F.col("toxic")).select(*at.values()).toDF(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +36,28 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id.
+    """One document of each near-duplicate group, the one with the smallest id (NULL first), of equal
+    ids the one whose text has the smaller hash.
 
-    Groups link texts whose five-word shingles have a Jaccard similarity of at least 0.8. Rows equal in id and text are one document and come out once.
+    Groups link SimHash fingerprints of three-word shingles that differ in at most three bits; NULL
+    and empty texts have fingerprint zero. Rows equal in id and text are one document and come out
+    once, with the other columns of the one whose hash is smallest.
     """
     own = F.struct("doc_id", F.xxhash64("text").alias("key"))
-    classes = shingle_groups.similar_documents(docs.select(own.alias("__own"), "text"), "__own")
+    classes = simhash.near_duplicates(docs.select(own.alias("__own"), "text"), "__own", words=3, limit=3)
     firsts = classes.filter(F.col("__own") == F.col("component_id")).groupBy("__own").agg(
-        F.count(F.lit(1)).alias("__copies"))
-    kept = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(
-        firsts.select("__copies", F.col("__own.doc_id").alias("__doc"), F.xxhash64(
-            "__own.doc_id", "__own.key").alias("__firsts")),
-        F.xxhash64("doc_id", F.xxhash64("text")) == F.col("__firsts"))
+        F.count(F.lit(1)).alias("__copies")).select(
+        F.col("__own.doc_id").alias("__doc"), F.col("__own.key").alias("__text_key"), "__copies")
+    kept = docs.withColumn("__key", F.xxhash64("text")).join(
+        firsts, (F.col("__key") == F.col("__text_key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     single = kept.filter(F.col("__copies") == 1).select(*docs.columns)
-    return single.unionAll(kept.filter(F.col("__copies") > 1).select(*docs.columns).dropDuplicates(
-        ["doc_id", "text"]))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    several = kept.filter(F.col("__copies") > 1).select(*docs.columns)
+    if not rest:
+        return single.unionAll(several.distinct())
+    merged = several.groupBy("doc_id", "text").agg(F.min_by(
+        F.struct(*rest), F.xxhash64(*rest)).alias("__rest"))
+    return single.unionAll(merged.select("doc_id", "text", "__rest.*").select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
