@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
 from fraudloom.llm.common import in_pieces, written
-from fraudloom.llm.tokens import encoder
+from fraudloom.llm.tokens import CHARS, encoder
 
 #: Classes below capacity / FINEST are not cut further.
 FINEST = 32
@@ -76,7 +76,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         id_type = None
-        for piece in in_pieces(batches, "__text"):
+        for piece in in_pieces(batches, "__text", CHARS):
             if id_type is None:
                 arrow = _schema(piece.schema.field(0).type)
                 names, id_type = arrow.names, True

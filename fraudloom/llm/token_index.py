@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from fraudloom.llm.common import in_pieces
-from fraudloom.llm.tokens import encoder
+from fraudloom.llm.tokens import CHARS, encoder
 
 SHARD_BYTES = 4 << 20
 KEYS_PER_BUCKET = 8192
@@ -106,7 +106,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                 [pa.array([v], type=f.type) for v, f in zip(
                     (part, shard, width, keys, counts, b"".join(payload)), arrow)], schema=arrow)
 
-        for piece in in_pieces(batches, "__text"):
+        for piece in in_pieces(batches, "__text", CHARS):
             known = encoder(tokenizer)
             width = 2 if max(known.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
             end = np.array([end_id], "<u4").tobytes()

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Words per generation of the memory; two generations are kept.
 REMEMBERED = 500_000
+#: Characters of text that are encoded together: a word recurs more often in more text.
+CHARS = 4_000_000
 #: New parts that are encoded as one text.
 JOINED = 64
 #: A word before one of these, white space or the end is always a token boundary. Where texts are
@@ -21,6 +23,7 @@ _PIECE = re.compile(
     "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f\u0400-\u0481]++"
     r"(?=[\s.,;:!?]|$)|\S+")
 _LEADING_PIECE = re.compile(r" ?[^\W\d_]++(?=[\s.,;:!?]|$)| ?\S+|\s+(?!\S)|\s+")
+_STOPS = ".,;:!?"
 #: White space to Python only, and the one letter that grows a mark in lower case.
 _UNSURE = re.compile("[\x1c-\x1f\u0130]")
 _ENCODERS: dict = {}
@@ -42,7 +45,10 @@ class IdEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.added_starts = sorted({c for t in added for c in (t[0].lower(), t[0].upper())})
-        self.layout = self._layout(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.layout = self._layout(spec)
+        #: Texts become lower case before they are cut, so ASCII words are remembered that way.
+        self.one_case = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         self.young, self.old = {}, {}
         self.mark, self.mark_in = (" \x01 ", "\x01") if self.layout == "dropped" else ("\n", "\n")
         self.mark_id = self._mark_id() if self.layout != "whole" else None
@@ -106,22 +112,35 @@ class IdEncoder:
         find = (_LEADING_PIECE if self.layout == "leading" else _PIECE).findall
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old, split, new = self.young, self.old, {}, {}
-        known = list(map(young.get, pieces))
-        for i, ids in enumerate(known):
-            if ids is not None:
-                continue
-            parts = split[i] = find(pieces[i])
-            for part in parts:
-                if part not in young:
-                    ids = old.get(part)
-                    if ids is None:
-                        new[part] = None
-                    else:
-                        young[part] = ids
+        young, old, one_case, new = self.young, self.old, self.one_case, {}
+        young[""] = b""
+        heads, tails, others = list(pieces), [""] * len(pieces), {}
+        for i, piece in enumerate(pieces):
+            head = piece.rstrip(_STOPS)
+            if head.isascii() and head.lstrip(" ").isalpha():
+                if len(head) < len(piece):
+                    tails[i] = piece[len(head):]
+                heads[i] = head.lower() if one_case else head
+            else:
+                parts = find(piece)
+                if len(parts) == 1:
+                    heads[i] = parts[0]
+                else:
+                    heads[i], others[i] = "", parts
+        for part in itertools.chain(heads, set(tails), itertools.chain.from_iterable(others.values())):
+            if part not in young:
+                ids = old.get(part)
+                if ids is None:
+                    new[part] = None
+                else:
+                    young[part] = ids
         young.update(zip(new, self._encode_parts(list(new))))
-        for i, parts in split.items():
-            known[i] = young[parts[0]] if len(parts) == 1 else b"".join([young[p] for p in parts])
+        known = list(map(young.__getitem__, heads))
+        for i, tail in enumerate(tails):
+            if tail:
+                known[i] += young[tail]
+        for i, parts in others.items():
+            known[i] = b"".join([young[p] for p in parts])
         return known
 
     def batch(self, texts: list[str]) -> list[bytes]:
