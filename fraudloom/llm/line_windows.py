@@ -110,7 +110,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if chains:
         longer = row.select("__id", "__key", F.inline(_chains(F.col("__lines"), min_chars)))
         windows = windows.withColumn("__width", F.lit(WIDTH)).unionByName(longer)
-    windows = written(repeated_rows(windows, "__window"), "line-windows")
+    windows = written(repeated_rows(written(windows, "line-all"), "__window"), "line-windows")
     place = F.struct("__id", "__key", "__at")
     repeated = written(windows.groupBy("__window").agg(
         F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words per generation of the memory; two generations are kept.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Characters of text that are encoded together: a word recurs more often in more text.
 CHARS = 4_000_000
 #: New parts that are encoded as one text.
