@@ -15,11 +15,13 @@ from fraudloom.functions.columns import micros
 from fraudloom.registry.core import Tables, query, sql
 from fraudloom.registry.dashboard import ROUTED, VOLUME
 from fraudloom.registry.detection import STEPS
-from fraudloom.registry.lifecycle import REPLAY_COLUMNS, _replay
+from fraudloom.registry.lifecycle import REPLAY_COLUMNS, WINNERS, _replay
 from fraudloom.registry.messaging import DECODED, ENVELOPE, FAILED
 from fraudloom.session import prepare, shared_dir
 from fraudloom.sources.streams import event_stream_from_start, file_stream, transaction_stream
-from fraudloom.streaming.lifecycle import current_state, lifecycle_input, stream_lifecycle
+from fraudloom.streaming.lifecycle import (
+    action_outcomes, current_state, lifecycle_input, stream_lifecycle,
+)
 from fraudloom.streaming.consume import stream_consume
 from fraudloom.streaming.dedup import stream_dedup
 from fraudloom.streaming.flows import (
@@ -289,15 +291,59 @@ def sink(t):
 def lifecycle(t):
     source = lifecycle_input(t.alerts_fx, t.actions_fx)
     out, check = shared_dir(t.spark, "lifecycle"), shared_dir(t.spark, "lifecycle_check")
-    marker = ahead(source, "at").withColumns({
-        "alert_id": F.lit(-1).cast("bigint"), "kind": F.lit("action"),
-        "target_status": F.lit("PENDING")})
     run_in_parts(t, source, "at", results(
         t, lambda path: stream_lifecycle(file_stream(t.spark, path, source.schema)), out, check),
-        closing=marker)
+        closing=_clock(source))
     return current_state(t.spark.read.parquet(out), t.alerts_fx).select(*REPLAY_COLUMNS)
 
 
+def _clock(source: DataFrame) -> DataFrame:
+    """A message that moves time past everything and belongs to no alert."""
+    return ahead(source, "at", "arrived_at").withColumns({
+        "alert_id": F.lit(-1).cast("bigint"), "kind": F.lit("action"),
+        "target_status": F.lit("PENDING")})
+
+
+def _early_actions(t) -> tuple[str, str]:
+    """For every second alert the actions come a batch before the alert, for the others after it."""
+    source = lifecycle_input(t.alerts_fx, t.actions_fx)
+    out, check = shared_dir(t.spark, "early"), shared_dir(t.spark, "early_check")
+    start = source.agg(F.min("at")).first()[0]
+    early = (F.col("kind") == "action") == (F.pmod(F.xxhash64("alert_id"), F.lit(2)) == 0)
+    pieces = [source.where(early).withColumn("arrived_at", F.lit(start)),
+              source.where(~early).withColumn("arrived_at", F.lit(start) + F.expr("INTERVAL 1 MINUTE")),
+              _clock(source)]
+    run_pieces(t, pieces, results(
+        t, lambda path: stream_lifecycle(file_stream(t.spark, path, source.schema)), out, check))
+    return out, check
+
+
+@query("stream_lifecycle_early", sql("alerts_fx actions_fx", _replay(None)))
+def lifecycle_early(t):
+    out, _ = _early_actions(t)
+    return current_state(t.spark.read.parquet(out), t.alerts_fx).select(*REPLAY_COLUMNS)
+
+
+@query("stream_action_outcomes", sql("alerts_fx actions_fx", """
+    SELECT a.action_id, a.alert_id, CASE WHEN a.target_status = 'PENDING' THEN 'invalid_target' WHEN f.id IS NULL THEN 'not_found'
+      WHEN w.action_id = a.action_id THEN 'applied' ELSE 'conflict' END AS outcome
+    FROM actions_fx a LEFT JOIN alerts_fx f ON f.id = a.alert_id LEFT JOIN winners w ON w.alert_id = a.alert_id""",
+    winners=WINNERS))
+def streamed_outcomes(t):
+    out, _ = _early_actions(t)
+    return action_outcomes(t.spark.read.parquet(out)).where("alert_id <> -1")
+
+
+@query("stream_lifecycle_state", sql("alerts_fx actions_fx", """
+    SELECT id, 'alert' AS kept FROM alerts_fx WHERE id NOT IN (SELECT alert_id FROM winners)""", winners=WINNERS))
+def lifecycle_state(t):
+    """What is left in the state store once a day has gone by: open alerts, nothing else."""
+    _, check = _early_actions(t)
+    kept = [t.spark.read.format("statestore").option("stateVarName", name).load(check).select(
+        F.col("key.alert_id").alias("id"), F.lit(name).alias("kept")) for name in ("alert", "waiting")]
+    return kept[0].unionByName(kept[1])
+
+
 RUN = """
     SELECT *, CAST(sum(1 - kind) OVER w AS BIGINT) AS total_alerts, CAST(sum(kind) OVER w AS BIGINT) AS false_positive_count
     FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind, event_id ROWS UNBOUNDED PRECEDING)"""

@@ -14,23 +14,28 @@ from fraudloom.functions.columns import micros
 from fraudloom.plans.slices import MINUTE_US
 from fraudloom.schemas import TERMINAL_STATUSES
 
-STATE = "created_us bigint, level int, closed boolean"
+STATE = "created_us bigint, level int, until_us bigint"
 LEVELS = ("ESCALATED_EMAIL", "ESCALATED_SLACK")
+EVENTS = ["alert_id", "status", "at_us", "actor", "action_id", "outcome"]
 
 
 class AlertLifecycle(StatefulProcessor):
-    """State of one alert: creation time, escalation level and whether it is closed.
+    """State of one alert: creation time, escalation level and, once closed, until when it is kept.
 
     Levels are decided by event time, so an action that comes in the same batch as the alert
-    meets the escalations that were due before it, whether or not their timer has fired.
+    meets the escalations that were due before it, whether or not their timer has fired. Actions
+    that come before their alert wait in a list.
     """
 
-    def __init__(self, delays_us: tuple[int, int]):
-        self.delays_us = delays_us
+    def __init__(self, delays_us: tuple[int, int], wait_us: int, keep_us: int, action_type: str):
+        self.delays_us, self.wait_us, self.keep_us = delays_us, wait_us, keep_us
+        self.action_type = action_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("alert", STATE)
+        self.waiting = handle.getListState(
+            "waiting", f"at_us bigint, seq {self.action_type}, target string, actor string, until_us bigint")
 
     def _escalate(self, key, created: int, level: int, before_us: int, out: list) -> int:
         """Makes every transition due before the given time."""
@@ -38,46 +43,68 @@ class AlertLifecycle(StatefulProcessor):
             due = created + self.delays_us[level]
             if due >= before_us:
                 break
-            out.append((key[0], LEVELS[level], due, None))
+            out.append((key[0], LEVELS[level], due, None, None, None))
             level += 1
         return level
 
-    def _next_timer(self, created: int, level: int, watermark_ms: int) -> None:
-        if level < len(LEVELS):
-            due_ms = -(-(created + self.delays_us[level]) // 1000)
-            self.handle.registerTimer(max(due_ms, watermark_ms + 1))
+    def _call_at(self, at_us: int, watermark_ms: int) -> None:
+        self.handle.registerTimer(max(-(-at_us // 1000), watermark_ms + 1))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "seq"])
-        created, level, closed = self.state.get() if self.state.exists() else (None, 0, False)
-        known, out = created is not None, []
-        for kind, at, target, actor in zip(
-            batch["kind"], batch["at_us"], batch["target_status"], batch["actor"]
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        created, level, until = self.state.get() if self.state.exists() else (None, 0, None)
+        known, out, actions = created is not None, [], []
+        for kind, at, seq, target, actor, arrived in zip(
+            batch["kind"], batch["at_us"], batch["seq"].tolist(), batch["target_status"], batch["actor"],
+            batch["arrived_us"],
         ):
             if kind == "alert":
-                if created is None:
-                    created = int(at)
-            elif created is not None and not closed and target in TERMINAL_STATUSES:
-                level = self._escalate(key, created, level, int(at), out)
-                out.append((key[0], target, int(at), actor))
-                closed = True
+                created = int(at) if created is None else created
+            elif target not in TERMINAL_STATUSES:
+                out.append((key[0], None, int(at), actor, seq, "invalid_target"))
+            else:
+                actions.append((int(at), seq, target, actor, int(arrived) + self.wait_us))
         if created is None:
-            return iter(())
-        self.state.update((created, level, closed))
-        if not known and not closed:
-            self._next_timer(created, level, timerValues.getCurrentWatermarkInMs())
+            if actions:
+                self.waiting.appendList(actions)
+                for end in {action[-1] for action in actions}:
+                    self._call_at(end, watermark_ms)
+            return _frames(out)
+        if self.waiting.exists():
+            actions = sorted([*self.waiting.get(), *actions], key=lambda action: action[:2])
+            self.waiting.clear()
+        for at, seq, target, actor, _ in actions:
+            if until is not None:
+                out.append((key[0], None, at, actor, seq, "conflict"))
+                continue
+            level = self._escalate(key, created, level, at, out)
+            out.append((key[0], target, at, actor, seq, "applied"))
+            until = int(batch["arrived_us"].max()) + self.keep_us
+            self._call_at(until, watermark_ms)
+        self.state.update((created, level, until))
+        if not known and until is None and level < len(LEVELS):
+            self._call_at(created + self.delays_us[level], watermark_ms)
         return _frames(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        now, out = watermark_ms * 1000, []
         if not self.state.exists():
-            return iter(())
-        created, level, closed = self.state.get()
-        out: list = []
-        if not closed:
-            watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-            level = self._escalate(key, created, level, watermark_us + 1, out)
-            self.state.update((created, level, closed))
-            self._next_timer(created, level, timerValues.getCurrentWatermarkInMs())
+            waiting = list(self.waiting.get()) if self.waiting.exists() else []
+            later = [action for action in waiting if action[-1] > now]
+            out += [(key[0], None, at, actor, seq, "not_found")
+                    for at, seq, _, actor, end in waiting if end <= now]
+            self.waiting.put(later) if later else self.waiting.clear()
+            return _frames(out)
+        created, level, until = self.state.get()
+        if until is None:
+            level = self._escalate(key, created, level, now + 1, out)
+            self.state.update((created, level, until))
+            if level < len(LEVELS):
+                self._call_at(created + self.delays_us[level], watermark_ms)
+        elif until <= now:
+            self.state.clear()
         return _frames(out)
 
     def close(self) -> None:
@@ -87,11 +114,14 @@ class AlertLifecycle(StatefulProcessor):
 def _frames(out: list[tuple]) -> Iterator[pd.DataFrame]:
     if not out:
         return iter(())
-    return iter((pd.DataFrame(out, columns=["alert_id", "status", "at_us", "actor"]),))
+    return iter((pd.DataFrame(out, columns=EVENTS).astype({"action_id": object}),))
 
 
 def lifecycle_input(alerts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Alerts and actions in the one shape the state machine reads; ids keep their types."""
+    """Alerts and actions in the one shape the state machine reads; ids keep their types.
+
+    `arrived_at` is when the message came, here its own time; replace it where that is known.
+    """
     kind = actions.schema["action_id"].dataType
     before_all = F.lit(-1 if isinstance(kind, NumericType) else "").cast(kind)
     return alerts.select(
@@ -101,23 +131,35 @@ def lifecycle_input(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     ).unionByName(actions.select(
         "alert_id", F.lit("action").alias("kind"), F.col("acted_at").cast("timestamp").alias("at"),
         F.col("action_id").alias("seq"), "target_status", "actor",
-    ))
+    )).withColumn("arrived_at", F.col("at"))
 
 
 def stream_lifecycle(
     events: DataFrame, watermark: str = "1 minute", cfg: LifecycleConfig = LifecycleConfig(),
+    wait_minutes: int = 1440, keep_minutes: int = 1440,
 ) -> DataFrame:
-    """Status transitions of alerts: (alert_id, status, at, actor)."""
+    """What happens to alerts: (alert_id, status, at, actor, action_id, outcome).
+
+    Transitions have a status; every action has an outcome, and the one that closes its alert has
+    both. Time moves on with `arrived_at`, so a message is never late by its own time `at`. Actions of
+    one batch act in the order of their times, those of later batches find what earlier ones decided.
+    An action waits `wait_minutes` for its alert and is `not_found` after that. A closed alert leaves
+    the state after `keep_minutes`; see `action_outcomes` for actions that come later still. Open
+    alerts stay, as each may yet be closed.
+    """
     delays = (cfg.email_minutes * MINUTE_US, (cfg.email_minutes + cfg.slack_minutes) * MINUTE_US)
-    rows = events.withWatermark("at", watermark).withColumn("at_us", micros("at"))
-    kind = events.schema["alert_id"].dataType.simpleString()
-    transitions = f"alert_id {kind}, status string, at_us bigint, actor string"
+    rows = events.withWatermark("arrived_at", watermark).withColumns({
+        "at_us": micros("at"), "arrived_us": micros("arrived_at")})
+    kind, action = (events.schema[name].dataType.simpleString() for name in ("alert_id", "seq"))
+    happened = (f"alert_id {kind}, status string, at_us bigint, actor string, action_id {action},"
+                " outcome string")
     moved = rows.groupBy("alert_id").transformWithStateInPandas(
-        statefulProcessor=AlertLifecycle(delays), outputStructType=transitions,
-        outputMode="Append", timeMode="EventTime",
+        statefulProcessor=AlertLifecycle(
+            delays, wait_minutes * MINUTE_US, keep_minutes * MINUTE_US, action),
+        outputStructType=happened, outputMode="Append", timeMode="EventTime",
     )
     return moved.select(
-        "alert_id", "status", F.timestamp_micros("at_us").alias("at"), "actor")
+        "alert_id", "status", F.timestamp_micros("at_us").alias("at"), "actor", "action_id", "outcome")
 
 
 def current_state(transitions: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -126,10 +168,10 @@ def current_state(transitions: DataFrame, alerts: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("status") == status, F.col("at"))).cast("timestamp_ntz")
 
     final = F.col("status").isin(*TERMINAL_STATUSES)
-    folded = transitions.groupBy(F.col("alert_id").alias("id")).agg(
+    folded = transitions.where("status IS NOT NULL").groupBy(F.col("alert_id").alias("id")).agg(
         time_of("ESCALATED_EMAIL").alias("escalated_email_at"),
         time_of("ESCALATED_SLACK").alias("escalated_slack_at"),
-        F.max_by(F.struct("status", "actor"), F.struct("at", final)).alias("_last"),
+        F.max_by(F.struct("status", "actor"), F.struct(final, "at")).alias("_last"),
         F.max(F.when(final, F.col("at"))).cast("timestamp_ntz").alias("resolved_at"),
     )
     return alerts.select("id").join(folded, "id", "left").select(
@@ -137,3 +179,17 @@ def current_state(transitions: DataFrame, alerts: DataFrame) -> DataFrame:
         "escalated_email_at", "escalated_slack_at", F.col("_last.actor").alias("resolved_by"),
         "resolved_at",
     )
+
+
+def action_outcomes(events: DataFrame) -> DataFrame:
+    """Outcome of every action: (action_id, alert_id, outcome).
+
+    An action that waited in vain because its alert had been closed and had left the state is a
+    conflict; closed alerts are told by their transitions.
+    """
+    closed = events.where(F.col("status").isin(*TERMINAL_STATUSES)).select(
+        "alert_id", F.lit(True).alias("_closed")).distinct()
+    return events.where("outcome IS NOT NULL").join(closed, "alert_id", "left").select(
+        "action_id", "alert_id",
+        F.when((F.col("outcome") == "not_found") & F.col("_closed"), "conflict")
+        .otherwise(F.col("outcome")).alias("outcome"))
