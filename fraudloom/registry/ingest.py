@@ -8,7 +8,7 @@ from fraudloom.operators.rules import load_active_rules, resolve_rule_params
 from fraudloom.registry.core import query, sql
 from fraudloom.schemas import UNIQUE_KEYS
 from fraudloom.session import shared_dir
-from fraudloom.sources import tables
+from fraudloom.sources import tables, upsert
 
 USER_PATTERN = "^[0-9]+$"
 
@@ -265,6 +265,24 @@ def upserted(t):
     return merge.upsert_table(base, delta, ["user_id"], ["risk_score"])
 
 
+@query("upsert_in_place", sql("risk_profiles_fx txn", """
+    SELECT coalesce(p.user_id, d.user_id) AS user_id, coalesce(d.risk_score, p.risk_score) AS risk_score,
+      coalesce(p.total_alerts, d.total_alerts) AS total_alerts
+    FROM risk_profiles_fx p FULL OUTER JOIN (
+      SELECT user_id, CAST(least(1, count(*) * 0.01) AS DECIMAL(5,4)) AS risk_score, CAST(0 AS INT) AS total_alerts
+      FROM txn WHERE user_id % 100 = 7 GROUP BY user_id) d ON d.user_id = p.user_id"""))
+def upserted_in_place(t):
+    """The profiles as a stored table after a delta of the users of every hundredth number."""
+    path = shared_dir(t.spark, "profiles_table")
+    base = t.risk_profiles_fx.select("user_id", "risk_score", "total_alerts")
+    upsert.create_keyed(base, path, ["user_id"], partitions=64)
+    delta = t.txn.where("user_id % 100 = 7").groupBy("user_id").agg(
+        F.expr("CAST(least(1, count(*) * 0.01) AS DECIMAL(5,4))").alias("risk_score"),
+        F.lit(0).alias("total_alerts"))
+    upsert.upsert_keyed(delta, path, base.schema, ["user_id"], ["risk_score"], partitions=64)
+    return upsert.read_keyed(t.spark, path, base.schema)
+
+
 @query("latest_per_alert", sql("actions_fx", """
     SELECT alert_id AS id, action_id, target_status FROM (
       SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY acted_at DESC, action_id DESC) AS rn
