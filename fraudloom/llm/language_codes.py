@@ -87,8 +87,9 @@ class LanguageCodes:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         train_rows: Column | None = None, per_language: int = 800) -> LanguageCodes:
     """Learns from at most `per_language` documents of each language among `train_rows`, taken in
-    the order of a hash of the id; NULL languages and texts teach nothing."""
-    rows = docs.filter(F.col(lang_col).isNotNull())
+    the order of a hash of the id. Rows with a NULL language or text teach nothing and take no place;
+    without any others, and from an empty table, no language is learned."""
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if train_rows is not None:
         rows = rows.filter(train_rows)
     key = F.xxhash64(id_col)
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     chosen = F.lit(False)
     for lang, bound in bounds.items():
         chosen = chosen | ((F.col(lang_col) == lang) & (key <= bound))
-    frame = rows.filter(chosen & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("__lang"), key.alias("__key"),
+    frame = rows.filter(chosen).select(F.col(lang_col).alias("__lang"), key.alias("__key"),
                                        F.col(text_col).alias("__t"))
     held = map_texts(frame, ["__lang", "__key"], "__t", lambda texts, kept: {
         **kept, "x": [features(t) for t in texts]}, "__lang string, __key long, x array<float>").toArrow()
