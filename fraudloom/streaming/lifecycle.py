@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import NumericType
 
@@ -16,7 +15,7 @@ from fraudloom.schemas import TERMINAL_STATUSES
 
 STATE = "created_us bigint, level int, until_us bigint"
 LEVELS = ("ESCALATED_EMAIL", "ESCALATED_SLACK")
-EVENTS = ["alert_id", "status", "at_us", "actor", "action_id", "outcome"]
+EVENT = Row("alert_id", "status", "at_us", "actor", "action_id", "outcome")
 
 
 class AlertLifecycle(StatefulProcessor):
@@ -24,7 +23,8 @@ class AlertLifecycle(StatefulProcessor):
 
     Levels are decided by event time, so an action that comes in the same batch as the alert
     meets the escalations that were due before it, whether or not their timer has fired. Actions
-    that come before their alert wait in a list.
+    that come before their alert wait in a list. An alert has few rows, so they are taken as they are
+    and not as data frames, whose setup would be most of the work.
     """
 
     def __init__(self, delays_us: tuple[int, int], wait_us: int, keep_us: int, action_type: str):
@@ -43,61 +43,60 @@ class AlertLifecycle(StatefulProcessor):
             due = created + self.delays_us[level]
             if due >= before_us:
                 break
-            out.append((key[0], LEVELS[level], due, None, None, None))
+            out.append(EVENT(key[0], LEVELS[level], due, None, None, None))
             level += 1
         return level
 
     def _call_at(self, at_us: int, watermark_ms: int) -> None:
         self.handle.registerTimer(max(-(-at_us // 1000), watermark_ms + 1))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "seq"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        batch = sorted(rows, key=lambda row: (row["at_us"] is None, row["at_us"], row["seq"] is None, row["seq"]))
         watermark_ms = timerValues.getCurrentWatermarkInMs()
-        created, level, until = self.state.get() if self.state.exists() else (None, 0, None)
+        created, level, until = self.state.get() or (None, 0, None)
         known, out, actions = created is not None, [], []
-        for kind, at, seq, target, actor, arrived in zip(
-            batch["kind"], batch["at_us"], batch["seq"].tolist(), batch["target_status"], batch["actor"],
-            batch["arrived_us"],
-        ):
-            if kind == "alert":
+        for row in batch:
+            at, seq, target, actor = row["at_us"], row["seq"], row["target_status"], row["actor"]
+            if row["kind"] == "alert":
                 created = int(at) if created is None else created
             elif target not in TERMINAL_STATUSES:
-                out.append((key[0], None, int(at), actor, seq, "invalid_target"))
+                out.append(EVENT(key[0], None, int(at), actor, seq, "invalid_target"))
             else:
-                actions.append((int(at), seq, target, actor, int(arrived) + self.wait_us))
+                actions.append((int(at), seq, target, actor, int(row["arrived_us"]) + self.wait_us))
         if created is None:
             if actions:
                 self.waiting.appendList(actions)
                 for end in {action[-1] for action in actions}:
                     self._call_at(end, watermark_ms)
-            return _frames(out)
-        if self.waiting.exists():
+            return iter(out)
+        if not known and self.waiting.exists():
             actions = sorted([*self.waiting.get(), *actions], key=lambda action: action[:2])
             self.waiting.clear()
         for at, seq, target, actor, _ in actions:
             if until is not None:
-                out.append((key[0], None, at, actor, seq, "conflict"))
+                out.append(EVENT(key[0], None, at, actor, seq, "conflict"))
                 continue
             level = self._escalate(key, created, level, at, out)
-            out.append((key[0], target, at, actor, seq, "applied"))
-            until = int(batch["arrived_us"].max()) + self.keep_us
+            out.append(EVENT(key[0], target, at, actor, seq, "applied"))
+            until = max(row["arrived_us"] for row in batch if row["arrived_us"] is not None) + self.keep_us
             self._call_at(until, watermark_ms)
         self.state.update((created, level, until))
         if not known and until is None and level < len(LEVELS):
             self._call_at(created + self.delays_us[level], watermark_ms)
-        return _frames(out)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark_ms = timerValues.getCurrentWatermarkInMs()
         now, out = watermark_ms * 1000, []
-        if not self.state.exists():
+        state = self.state.get()
+        if state is None:
             waiting = list(self.waiting.get()) if self.waiting.exists() else []
             later = [action for action in waiting if action[-1] > now]
-            out += [(key[0], None, at, actor, seq, "not_found")
+            out += [EVENT(key[0], None, at, actor, seq, "not_found")
                     for at, seq, _, actor, end in waiting if end <= now]
             self.waiting.put(later) if later else self.waiting.clear()
-            return _frames(out)
-        created, level, until = self.state.get()
+            return iter(out)
+        created, level, until = state
         if until is None:
             level = self._escalate(key, created, level, now + 1, out)
             self.state.update((created, level, until))
@@ -105,18 +104,12 @@ class AlertLifecycle(StatefulProcessor):
                 self._call_at(created + self.delays_us[level], watermark_ms)
         elif until <= now:
             self.state.clear()
-        return _frames(out)
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
-def _frames(out: list[tuple]) -> Iterator[pd.DataFrame]:
-    if not out:
-        return iter(())
-    return iter((pd.DataFrame(out, columns=EVENTS).astype({"action_id": object}),))
-
-
 def lifecycle_input(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """Alerts and actions in the one shape the state machine reads; ids keep their types.
 
@@ -153,7 +146,7 @@ def stream_lifecycle(
     kind, action = (events.schema[name].dataType.simpleString() for name in ("alert_id", "seq"))
     happened = (f"alert_id {kind}, status string, at_us bigint, actor string, action_id {action},"
                 " outcome string")
-    moved = rows.groupBy("alert_id").transformWithStateInPandas(
+    moved = rows.groupBy("alert_id").transformWithState(
         statefulProcessor=AlertLifecycle(
             delays, wait_minutes * MINUTE_US, keep_minutes * MINUTE_US, action),
         outputStructType=happened, outputMode="Append", timeMode="EventTime",

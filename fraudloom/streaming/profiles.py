@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fraudloom.functions.columns import micros
@@ -14,6 +13,7 @@ from fraudloom.operators.profiles import _profile_events
 from fraudloom.streaming.dedup import stream_dedup
 
 PROFILE = "total_alerts bigint, false_positive_count bigint, score_units bigint, at_us bigint"
+PROFILE_ROW = Row("user_id", "total_alerts", "false_positive_count", "score_units", "at_us")
 QUARTER_UNITS = 2500
 FULL_UNITS = 10000
 #: The time of events that have none: before all others.
@@ -33,13 +33,16 @@ class ProfileState(StatefulProcessor):
             "profile", "total bigint, fps bigint, before bigint, last bigint, at bigint")
         self.open = handle.getMapState("open", "at bigint", "n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat([part[["at_us", "kind"]] for part in rows])
-        at, is_fp = batch["at_us"].to_numpy(np.int64), batch["kind"].to_numpy() == 1
-        total, fps, before, last, newest = self.profile.get() if self.profile.exists() else (
-            0, 0, 0, None, NO_TIME)
-        total, fps = total + int((~is_fp).sum()), fps + int(is_fp.sum())
-        latest = max([int(at[is_fp].max())] if is_fp.any() else [], default=last)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        alerts, fp_times = Counter(), []
+        for row in rows:
+            if row["kind"] == 1:
+                fp_times.append(row["at_us"])
+            else:
+                alerts[row["at_us"]] += 1
+        total, fps, before, last, newest = self.profile.get() or (0, 0, 0, None, NO_TIME)
+        total, fps = total + alerts.total(), fps + len(fp_times)
+        latest = max(fp_times, default=last)
         if last is not None and latest is not None:
             latest = max(last, latest)
         if latest is not None and latest != last:
@@ -47,20 +50,16 @@ class ProfileState(StatefulProcessor):
                 if time <= latest:
                     before += n
                     self.open.removeKey((time,))
-        times, counts = np.unique(at[~is_fp], return_counts=True)
-        for time, n in zip(times.tolist(), counts.tolist()):
+        for time, n in sorted(alerts.items()):
             if latest is not None and time <= latest:
                 before += n
             else:
-                known = self.open.getValue((time,))[0] if self.open.containsKey((time,)) else 0
-                self.open.updateValue((time,), (known + n,))
-        newest = max(newest, int(at.max()))
+                known = self.open.getValue((time,)) or (0,)
+                self.open.updateValue((time,), (known[0] + n,))
+        newest = max(newest, *alerts, *fp_times)
         self.profile.update((total, fps, before, latest, newest))
         units = min(FULL_UNITS, max(0, before - fps) * QUARTER_UNITS) if latest is not None else 0
-        yield pd.DataFrame({
-            "user_id": [key[0]], "total_alerts": [total], "false_positive_count": [fps],
-            "score_units": [units], "at_us": [newest],
-        })
+        yield PROFILE_ROW(key[0], total, fps, units, newest)
 
     def close(self) -> None:
         pass
@@ -77,7 +76,7 @@ def stream_compensation(events: DataFrame) -> DataFrame:
     """
     kind = events.schema["user_id"].dataType.simpleString()
     states = stream_dedup(events, ["event_id", "kind"]).withColumn(
-        "at_us", F.coalesce(micros("ts"), F.lit(NO_TIME))).groupBy("user_id").transformWithStateInPandas(
+        "at_us", F.coalesce(micros("ts"), F.lit(NO_TIME))).groupBy("user_id").transformWithState(
         statefulProcessor=ProfileState(), outputStructType=f"user_id {kind}, {PROFILE}", outputMode="Append",
         timeMode="None",
     )
