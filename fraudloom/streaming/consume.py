@@ -1,56 +1,45 @@
 """Taking in a stream of message deliveries: readable messages, and dead letters of the others.
 
-A message is delivered again until it is acknowledged. Its deliveries are counted in keyed state, so
+A message is delivered again until it is acknowledged. Its deliveries are counted in a stored table, so
 the first one is told from repeats, and the one too many becomes a dead letter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from fraudloom.operators.events import dead_letters, decode_envelope
 from fraudloom.schemas import GROUP_PROCESSOR, STREAM_TRANSACTIONS
-from fraudloom.sources.sinks import write_batch
+from fraudloom.sources.sinks import ensure_table, write_batch
 from fraudloom.streaming.dedup import per_batch
 
 #: Deliveries of one message before it is given up (fixed value).
 MAX_DELIVERIES = 5
 
 
-class DeliveryCounter(StatefulProcessor):
-    """Numbers the deliveries of a message; one number of state each."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        for part in rows:
-            yield part.assign(delivery=range(seen + 1, seen + 1 + len(part)))
-            seen += len(part)
-        self.seen.update((seen,))
-
-    def close(self) -> None:
-        pass
-
-
 def numbered_deliveries(
-    raw: DataFrame, key: str = "message_id",
+    batch: DataFrame, batch_id: int, path: str, key: str = "message_id",
 ) -> DataFrame:
-    """Adds the number of each delivery among those of its message.
+    """Adds the number of each delivery of a micro-batch among all those of its message.
 
-    Messages without a key are told apart by nothing and count as delivered once. Counters stay, as
-    a repeat may come at any time (an expiry by clock time would keep an ending run from ending).
+    What earlier batches counted is read from `path`, where the counts of this one are added; a
+    repeated batch replaces its own. Messages without a key are told apart by nothing and count as
+    delivered once. Counts stay, as a repeat may come at any time.
     """
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in raw.dtypes)
-    counted = raw.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=DeliveryCounter(), outputMode="Append",
-        outputStructType=f"{kinds}, delivery bigint", timeMode="None")
-    return counted.unionByName(raw.where(F.col(key).isNull()).withColumn("delivery", F.lit(1).cast("long")))
+    spark, kind = batch.sparkSession, StructType([batch.schema[key]]).add("n", "long")
+    if batch_id == 0:
+        ensure_table(spark, path, StructType([*kind.fields]).add("batch_id", "long"), "batch_id")
+    keyed = batch.where(F.col(key).isNotNull())
+    now = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    write_batch(now, path, batch_id)
+    earlier = spark.read.schema(StructType([*kind.fields]).add("batch_id", "long")).parquet(path).where(
+        F.col("batch_id") < batch_id).groupBy(key).agg(F.sum("n").alias("_seen"))
+    order = Window.partitionBy(key).orderBy(F.lit(1))
+    counted = keyed.withColumn("_here", F.row_number().over(order)).join(earlier, key, "left").select(
+        *batch.columns, (F.coalesce("_seen", F.lit(0)) + F.col("_here")).cast("long").alias("delivery"))
+    return counted.unionByName(batch.where(F.col(key).isNull()).withColumn("delivery", F.lit(1).cast("long")))
 
 
 def consume_batch(
@@ -84,5 +73,12 @@ def stream_consume(
     max_deliveries: int = MAX_DELIVERIES,
 ) -> StreamingQuery:
     """Takes in everything that was delivered; see `consume_batch`."""
-    return per_batch(numbered_deliveries(raw, key), checkpoint, lambda batch, batch_id:
-                     consume_batch(batch, batch_id, path, key, max_deliveries=max_deliveries))
+    def take(batch: DataFrame, batch_id: int) -> None:
+        numbered = numbered_deliveries(batch, batch_id, f"{path}/deliveries", key).where(
+            F.col("delivery").isin(1, max_deliveries + 1)).persist()
+        try:
+            consume_batch(numbered, batch_id, path, key, max_deliveries=max_deliveries)
+        finally:
+            numbered.unpersist()
+
+    return per_batch(raw, checkpoint, take)
