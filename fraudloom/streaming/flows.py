@@ -60,7 +60,7 @@ def write_detections(
     fresh = first_per_key(keyed, "submission_key", "created_at", "transaction_id").join(
         known, "submission_key", "left_anti")
     earlier = spark.read.schema(changes).parquet(moved).where(F.col("batch_id") < batch_id)
-    counted = velocity_of_batch(fresh, f"{path}/history", batch_id, cfg.velocity_minutes)
+    counted = velocity_of_batch(fresh, f"{path}/history", batch_id, cfg.velocity_minutes, rows=batch)
     decisions = decide_enriched(
         with_risk_profile(counted, add_alert_counts(profiles, earlier)), rules, forest, cfg)
     decisions = decisions.withColumn("status", F.lit("PROCESSED"))

@@ -32,14 +32,15 @@ def reach_of_batch(batch: DataFrame, minutes: int) -> tuple[list, Column]:
 
 
 def velocity_of_batch(
-    batch: DataFrame, history: str, batch_id: int, minutes: int,
+    batch: DataFrame, history: str, batch_id: int, minutes: int, rows: DataFrame | None = None,
 ) -> DataFrame:
     """Velocity of one micro-batch against the stored transactions before it.
 
     Each row counts every transaction seen so far in its window, also one that came late. The
-    work is the batch form over the batch and the stretches of history that its windows reach.
+    work is the batch form over the batch and the stretches of history that its windows reach. Where
+    `batch` is costly to compute, `rows` are stored rows that hold it and tell that reach.
     """
-    days, needed = reach_of_batch(batch, minutes)
+    days, needed = reach_of_batch(batch if rows is None else rows, minutes)
     marked = batch.withColumn("_new", F.lit(True))
     past = read_history(batch.sparkSession, history, days, batch_id)
     if past is not None:
