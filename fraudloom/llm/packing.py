@@ -80,7 +80,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
             if id_type is None:
                 arrow = _schema(piece.schema.field(0).type)
                 names, id_type = arrow.names, True
-            ids_of = encoder(tokenizer).batch([t or "" for t in piece.column(1).to_pylist()])
+            ids_of = encoder(tokenizer).batch(piece.column(1))
             for doc, ids in zip(piece.column(0).to_pylist(), ids_of):
                 ids += end
                 total, start = len(ids) // 4, 0

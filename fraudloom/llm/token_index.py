@@ -110,8 +110,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             known = encoder(tokenizer)
             width = 2 if max(known.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
             end = np.array([end_id], "<u4").tobytes()
-            for key, ids in zip(piece.column(0).to_pylist(),
-                                known.batch(piece.column(1).to_pylist())):
+            for key, ids in zip(piece.column(0).to_pylist(), known.batch(piece.column(1))):
                 ids += end
                 keys.append(key)
                 counts.append(len(ids) // 4)

@@ -1,14 +1,16 @@
 """Packing and the token index against whole-text encoding by the library."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fraudloom.llm import packing, token_index
+from fraudloom.llm import packing, token_index, tokens
 from fraudloom.llm.queries import QUERIES, tokenizer_path
 from fraudloom.llm.tokens import IdEncoder
 from fraudloom.session import shared_dir
@@ -143,6 +145,56 @@ def test_ids_of_random_texts_equal_the_library():
                        for e in known.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_python_does_not_see_known_words(name):
+    """Words of earlier batches cost no Python call, and none is made per text character or word."""
+    known, calls = IdEncoder(tokenizer_path(name)), []
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzaeio"]
+    text = "x " + ", ".join(words) + ". "
+    known.batch([text])
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        got = known.batch([text, text * 2])
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words)
+    assert got == [whole(tokenizer_path(name), t, 0)[:-1].tobytes() for t in (text, text * 2)]
+
+
+def test_signs_after_a_word_make_no_new_word(monkeypatch):
+    path, seen = tokenizer_path("byte_bpe_50k.json"), []
+    known = IdEncoder(path)
+    encode = known._encode_parts
+    monkeypatch.setattr(known, "_encode_parts", lambda parts: (seen.extend(parts), encode(parts))[1])
+    texts = ["one alpha beta\u00e9", "one alpha### beta\u00e9%%%", "one alpha's beta\u00e9- alpha"]
+    got = [known.batch([t])[0] for t in texts]
+    assert seen == ["one", " alpha", " beta\u00e9", "###", "%%%", "'s", "-"]
+    assert got == [whole(path, t, 0)[:-1].tobytes() for t in texts]
+
+
+def test_forgotten_and_long_words_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    path = tokenizer_path("byte_bpe_50k.json")
+    known = IdEncoder(path)
+    for k in range(12):
+        texts = [" ".join(f"w{i}" for i in range(k, k + 4)), "y" * 100 + ".", None, ""]
+        assert known.batch(pa.array(texts)) == [whole(path, t, 0)[:-1].tobytes() for t in texts]
+        assert len(known.words) <= 10
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_white_space_and_marks_equal_the_library(name):
+    chosen = random.Random(7)
+    wide = "".join(c for c in map(chr, range(0x80, 0x3001)) if c.isspace())
+    path, known = tokenizer_path(name), Tokenizer.from_file(tokenizer_path(name))
+    for signs in ("aB \n\r\t\v\f" + wide + ".\u00e91", "HTWYJ\u0331\u030c\u0308\u030a=<>; aA\u0338",
+                  "aAsStTlLrReE''  -_1\u00e9\u0436\u0130."):
+        texts = ["".join(chosen.choice(signs) for _ in range(chosen.randrange(30))) for _ in range(1500)]
+        got = IdEncoder(path).batch(texts)
+        assert got == [np.array(e.ids, "<u4").tobytes()
+                       for e in known.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_index_of_empty_table(spark):
     out = shared_dir(spark, "t")
     token_index.write_token_index(spark.createDataFrame([], SCHEMA), out,
